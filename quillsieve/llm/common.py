@@ -1,86 +1,27 @@
 """Helpers shared by the training-data operators.
 
-Nothing here collects rows: the helpers name columns, write intermediate
-tables to the folder all machines share, and choose a join by checked size.
+Intermediate tables and joins by checked size come from the library's storage.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that separates words: U+0020 and U+0009..U+000D, as a Java class.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Largest estimated size of a join side that may be broadcast.
-BROADCAST_LIMIT = 16 << 20
-
-_written: dict[str, SparkSession] = {}
+from ..storage import by_size, materialize
 
+__all__ = ["WORD_PATTERN", "as_bytes", "by_size", "lower_ascii", "materialize", "slices", "table"]
 
+#: White space that separates words: U+0020 and U+0009..U+000D, as a Java class.
+WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir`; any path Spark can read will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every machine sees: `spark.checkpoint.dir` of the session.
-
-    Where the setting is absent, a local session (tests, one machine) gets a
-    temporary folder; on a cluster that would lose data, so it is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='quillsieve-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001 - the session may have ended already
-        pass
-
-
-@atexit.register
-def release() -> None:
-    """Delete the intermediate tables written so far (also runs at exit)."""
-    while _written:
-        _delete(*reversed(_written.popitem()))
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage at files that outlive any executor. The result has the
-    rows of one evaluation, so later reads of it agree with each other.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quillsieve/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def by_size(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """`df` with a broadcast hint if rows x row_bytes is below the limit, else as it is.
-
-    `rows` must be a count of `df`; beyond the limit Spark joins by shuffle.
-    """
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT else df
-
-
 def lower_ascii(column: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
