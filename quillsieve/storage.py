@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest estimated size of a join side that may be broadcast.
-BROADCAST_LIMIT = 16 << 20
+BROADCAST_LIMIT = 64 << 20
 
 _written: dict[str, SparkSession] = {}
 
