@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scoring import unit
 from ..storage import materialize
@@ -23,8 +24,8 @@ EMBED_BATCH = 64
 def embed(rows: DataFrame, text: str, function: Callable[[list[str]], list[list[float]]], name: str = "vector") -> DataFrame:
     """`rows` with the vector of a text column by any function from texts to vectors."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches):
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             vectors = []
             for i in range(0, len(texts), EMBED_BATCH):
