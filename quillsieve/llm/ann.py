@@ -26,7 +26,7 @@ from .common import materialize
 #: Centroids are fitted on so many vectors at most; every vector is indexed.
 FIT_SAMPLE = 8192
 #: Share of the lists that a query probes.
-PROBE_SHARE = 0.6
+PROBE_SHARE = 0.7
 EPSILON = 2.1
 COLUMNS_PER_BLOCK = 8
 #: Most vectors, and most queries, that one call of the scan gets.

@@ -17,6 +17,8 @@ __all__ = ["WORD_PATTERN", "as_bytes", "by_size", "lower_ascii", "materialize",
 
 #: White space that separates words: U+0020 and U+0009..U+000D, as a Java class.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir`; any path Spark can read will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
