@@ -58,14 +58,16 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, print): the fingerprint as a signed 64-bit number, a row for each row of `docs`."""
+    """(doc_id, key, print), a row for each row of `docs`: the fingerprint as a signed 64-bit number, and
+    xxhash64 of the text, which with doc_id tells a row again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
-            prints = np.array([fingerprint(t, words) for t in as_bytes(batch, "text")], dtype=np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "print"])
+            texts = as_bytes(batch, "text")
+            keys, prints = (np.array([f(t) for t in texts], dtype=np.uint64).view(np.int64) for f in (lambda t: xxhash.xxh64_intdigest(t, _SEED), lambda t: fingerprint(t, words)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(prints)], names=["doc_id", "key", "print"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, print long")
 
 
 def pivots(count: int = PIVOTS, seed: int = 11) -> np.ndarray:
@@ -164,6 +166,18 @@ def links(prints: DataFrame, distance: int = DISTANCE, most: int = CELL_MOST) ->
         level = materialize(shared.where("not small").select("fixed", "print").distinct(), "large-cells")
 
 
+def classed(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, key, print, root, component_id), a row for each row of `docs`; root is a print that names the component."""
+    rows = materialize(fingerprints(docs, words), "simhash")
+    classes = materialize(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(links(classes.select("print"), distance))
+    # the component's smallest doc_id: over classes that hang on a root, and the rest by themselves
+    merged = classes.join(roots, classes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    least = merged.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialize(merged.join(least, "root").select("print", "root", "component_id"), "named")
+    return rows.join(by_size(named, named.count(), 40), "print").select("doc_id", "key", "print", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each row of `docs`.
 
@@ -174,15 +188,18 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = SHIN
     never are the smallest unless all of a component are null. Repeated rows stay
     repeated; other columns are ignored; an empty table gives no rows.
     """
-    rows = materialize(fingerprints(docs, words), "simhash")
-    classes = materialize(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    roots = components(links(classes.select("print"), distance))
-    # the component's smallest doc_id: over classes that hang on a root, and the rest by themselves
-    merged = classes.join(roots, classes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    least = merged.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(merged.join(least, "root").select("print", "component_id"), "named")
-    out = rows.join(by_size(named, named.count(), 32), "print")
-    return out.select("doc_id", hex_of(F.col("print")).alias("fingerprint"), "component_id")
+    return classed(docs, distance, words).select("doc_id", hex_of(F.col("print")).alias("fingerprint"), "component_id")
+
+
+def keepers(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, key, rows): of each component the row to keep, with how many rows of `docs` are like it.
+
+    That is the row with the smallest doc_id; of several texts under that id, the
+    one with the smallest key.
+    """
+    first = classed(docs, distance, words).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("root", "doc_id", "key").agg(F.count("*").alias("rows"))
+    return first.groupBy("root").agg(F.min(F.struct("doc_id", "key", "rows")).alias("k")).select("k.*")
 
 
 def hex_of(column: Column) -> Column:
