@@ -26,7 +26,7 @@ from .common import slices
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: A worker remembers the encodings of one to two times so many different pieces.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 150_000
 #: Longer pieces are encoded each time.
 CACHE_CHARS = 64
 
@@ -182,21 +182,17 @@ class _Known(dict):
         return out
 
 
-class Codec:
-    """Splits text by the pattern and encodes each match on its own."""
+class Decoder:
+    """Ids to bytes, with nothing in memory but the tokens one after the other."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
-        self.vocabulary = Vocabulary(ranks)
-        self.split = regex.compile(pattern).findall
-        self._known = _Known(self.vocabulary)
-        tokens = [self.vocabulary.tokens.get(i, b"") for i in range(max(ranks.values(), default=-1) + 1)]
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
         self._sizes = np.array([len(t) for t in tokens], dtype=np.int64)
         self._starts = np.cumsum(self._sizes) - self._sizes
         self._bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self._known.__getitem__, self.split(text))), dtype=np.int32)
-
     def decode(self, ids: np.ndarray) -> bytes:
         out = []
         for i in range(0, len(ids), 1 << 16):
@@ -207,6 +203,25 @@ class Codec:
         return b"".join(out)
 
 
+class Codec(Decoder):
+    """Splits text by the pattern and encodes each match on its own."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
+        super().__init__(ranks)
+        self.vocabulary = Vocabulary(ranks)
+        self.split = regex.compile(pattern).findall
+        self._known = _Known(self.vocabulary)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self._known.__getitem__, self.split(text))), dtype=np.int32)
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    """One decoder a worker process: it needs no vocabulary to search."""
+    return Decoder(load_ranks(path))
+
+
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One codec a worker process, whatever the number of its tasks."""
@@ -237,12 +252,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", kee
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{fields}, `{ids}` array<int>")
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "data", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "data") -> DataFrame:
     """`df` and `data` (binary), the bytes that `ids` stand for; null and empty ids give no bytes."""
     _free_names(df, data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = decoder(path)
         for batch in slices(batches, 128):
             lists = batch.column(ids)
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
