@@ -15,44 +15,51 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import by_size, materialize
 
 DISTANCE = 2
 MIN_CHARS = 20
 #: Lines that meet under one key by pairs; more of them meet the key's first line, then block by block.
-KEY_MOST = 512
+KEY_MOST = 64
 _BLOCK = 256
+#: Lines seen more often are cut into segments where they are first seen only.
+OFTEN = 100
 
 
-def _place(length: Column, segment: int, count: int) -> tuple[Column, Column]:
-    """(start from 0, size) of a segment, from 0, of a line cut into `count`: the shorter ones first."""
-    base, longer = F.floor(length / count).cast("int"), F.pmod(length, F.lit(count)).cast("int")
-    short = F.lit(count) - longer
-    start = base * segment + F.greatest(F.lit(0), F.lit(segment) - short)
-    return start, base + (F.lit(segment) >= short).cast("int")
-
-
-def _index_keys(line: Column, length: Column, distance: int) -> Column:
-    out = []
-    for s in range(distance + 1):
-        start, size = _place(length, s, distance + 1)
-        out.append(F.xxhash64(length, F.lit(s), F.substring(line, start + 1, size)))
-    return F.array(*out)
-
+def _probes(distance: int) -> list[tuple[int, int, int, bool]]:
+    """(shorter, segment, move, indexed) of all keys of a line.
 
-def _probe_keys(line: Column, length: Column, distance: int, min_chars: int) -> Column:
-    """Keys of lines `shorter` characters shorter, for all places a segment can have moved to."""
+    A line of `length` is cut into distance + 1 segments, the shorter ones first.
+    For a line `shorter` characters shorter, `move` is how far a segment can have
+    moved. Its own segments are those with neither, and they probe as well.
+    """
     out = []
     for shorter in range(distance + 1):
-        other = length - shorter
         for s in range(distance + 1):
-            start, size = _place(other, s, distance + 1)
-            for move in range(max(-s, shorter - (distance - s)), min(s, shorter + distance - s) + 1):
-                at = start + move
-                fits = (at >= 0) & (at + size <= length) & (other >= min_chars)
-                out.append(F.when(fits, F.xxhash64(other, F.lit(s), F.substring(line, at + 1, size))))
-    return F.array_compact(F.array(*out))
+            moves = range(max(-s, shorter - (distance - s)), min(s, shorter + distance - s) + 1)
+            out += [(shorter, s, move, (shorter, move) == (0, 0)) for move in moves]
+    return out
+
+
+def _keyed(lines: DataFrame, distance: int, min_chars: int) -> DataFrame:
+    """(id, seg, indexed) of lines (id, line): one small expression for each of a line's keys.
+
+    One expression over all keys would be too large a method for the JVM to compile.
+    """
+    kinds = F.array(*[F.struct(F.lit(d).alias("shorter"), F.lit(s).alias("s"), F.lit(m).alias("move"), F.lit(i).alias("indexed")) for d, s, m, i in _probes(distance)])
+    rows = lines.select("id", "line", F.length("line").alias("length"), F.explode(kinds).alias("k")).select("id", "line", "length", "k.*")
+    count = distance + 1
+    other = F.col("length") - F.col("shorter")
+    longer = other % count
+    short = F.lit(count) - longer
+    base = ((other - longer) / count).cast("int")
+    start = base * F.col("s") + F.greatest(F.lit(0), F.col("s") - short) + F.col("move")
+    size = base + (F.col("s") >= short).cast("int")
+    rows = rows.select("id", "line", "length", "s", "indexed", other.alias("other"), start.alias("at"), size.alias("size"))
+    rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("length")) & (F.col("other") >= min_chars))
+    return rows.select("id", F.xxhash64("other", "s", F.substring("line", F.col("at") + 1, F.col("size"))).alias("seg"), "indexed")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -66,37 +73,41 @@ def _two_hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def near_lines(lines: DataFrame, first: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS, key_most: int = KEY_MOST) -> DataFrame:
+def near_lines(lines: DataFrame, seen: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS, key_most: int = KEY_MOST) -> DataFrame:
     """(h1, h2) of the lines that have a different line within `distance` that is first seen earlier.
 
-    `lines` has line; `first` has (h1, h2, first) for each different one.
+    `lines` has doc_id, key, line_no and line; `seen` has (h1, h2, first, n) for each different one.
     """
-    own = lines.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("id"))
-    index = own.select("id", F.explode(_index_keys(F.col("line"), F.col("n"), distance)).alias("seg"), F.lit(True).alias("indexed"))
-    probes = own.select("id", F.explode(_probe_keys(F.col("line"), F.col("n"), distance, min_chars)).alias("seg"), F.lit(False).alias("indexed"))
-    # One row for each key and line with the sides it is on; keys of one line only are dropped.
-    met = index.unionByName(probes).groupBy("seg", "id").agg(F.bool_or("indexed").alias("i"), F.bool_or(~F.col("indexed")).alias("p"))
-    keys = met.groupBy("seg").agg(F.count("*").alias("n"), F.count_if("i").alias("ni"), F.count_if("p").alias("np")).where("n > 1 AND ni > 0 AND np > 0").select("seg", "n")
-    met = materialize(met, "segments")
-    keys = materialize(keys, "segment-keys")
-    rows, hot = keys.agg(F.count("*"), F.count_if(F.col("n") > key_most)).first()
-    shared = materialize(met.join(by_size(keys, rows, 24), "seg"), "shared-segments")
+    own = lines.withColumn("id", F.xxhash64("line"))
+    often = materialize(seen.where(F.col("n") > OFTEN).select(F.col("h1").alias("id"), F.col("first").alias("once")), "often")
+    once = own.join(by_size(often, often.count(), 64), "id", "left").where(F.col("once").isNull() | (F.struct("doc_id", "key", "line_no") == F.col("once")))
+    # The only large exchange: 16 bytes a row, the id's last bit telling a line's own segments from mere probes.
+    keys = _keyed(once.select("id", "line"), distance, min_chars).select("seg", F.col("id").bitwiseAND(-2).bitwiseOR(F.col("indexed").cast("long")).alias("who")).repartition("seg")
+    all_of = Window.partitionBy("seg")
+    line_of = F.shiftright("who", 1)
+    shared = keys.select("seg", "who", F.min(line_of).over(all_of).alias("lo"), F.max(line_of).over(all_of).alias("hi"), F.max(F.col("who").bitwiseAND(1)).over(all_of).alias("any"))
+    shared = shared.where("lo < hi AND any = 1").groupBy("seg", line_of.alias("id")).agg(F.max(F.col("who").bitwiseAND(1)).alias("i"))
+    shared = materialize(shared.withColumn("n", F.count("*").over(all_of)), "shared-segments")
+    hot = shared.where(F.col("n") > key_most)
     cold = shared.where(F.col("n") <= key_most)
-    a, b = cold.where("p").select("seg", F.col("id").alias("a")), cold.where("i").select("seg", F.col("id").alias("b"))
+    a, b = cold.where("i = 1").select("seg", F.col("id").alias("a")), cold.select("seg", F.col("id").alias("b"))
     pairs = a.join(b, "seg").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
-    ids = shared.where(F.col("n") > key_most).select("id") if hot else None
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    wanted = materialize((wanted if ids is None else wanted.unionByName(ids)).distinct(), "wanted")
-    texts = own.join(by_size(wanted, wanted.count(), 24), "id", "left_semi").select("id", "line").distinct()
-    texts = texts.select("id", "line", *_two_hashes(F.col("line"))).join(first, ["h1", "h2"])
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(hot.select("id"))
+    wanted = materialize(wanted.distinct(), "wanted")
+    texts = lines.select("line").withColumn("id", F.shiftright(F.xxhash64("line"), 1)).join(by_size(wanted, wanted.count(), 24), "id", "left_semi").distinct()
+    texts = texts.select("id", "line", *_two_hashes(F.col("line"))).join(seen.select("h1", "h2", "first"), ["h1", "h2"])
     texts = materialize(texts.select("id", "line", "h1", "h2", "first"), "texts")
     ends = [texts.select(F.col("id").alias(e), F.struct("line", "h1", "h2", "first").alias(f"{e}_")) for e in ("a", "b")]
-    both = pairs.join(ends[0], "a").join(ends[1], "b")
+    both = pairs.join(ends[0], "a").join(ends[1], "b").where(_within("a_.line", "b_.line", distance))
     later = F.when(F.col("a_.first") > F.col("b_.first"), F.col("a_")).otherwise(F.col("b_"))
-    near = both.where(_within("a_.line", "b_.line", distance)).select(later["h1"].alias("h1"), later["h2"].alias("h2"))
-    if ids is not None:
-        near = near.unionByName(_hot(shared.where(F.col("n") > key_most), texts, distance))
+    near = both.select(later["h1"].alias("h1"), later["h2"].alias("h2"))
+    # Where two lines have one id they are in each other's place here; the text decides.
+    twins = texts.groupBy("id").agg(F.count("*").alias("n"), F.collect_list(F.struct("first", "line", "h1", "h2")).alias("l")).where("n > 1")
+    twins = twins.select(F.explode("l").alias("x"), "l").select("x", F.explode("l").alias("y")).where((F.col("x.first") > F.col("y.first")) & _within("x.line", "y.line", distance))
+    near = near.unionByName(twins.select("x.h1", "x.h2"))
+    if not hot.isEmpty():
+        near = near.unionByName(_hot(hot, texts, distance))
     return near.distinct()
 
 
@@ -110,7 +121,7 @@ def _hot(shared: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
     The key's first line settles all lines near it. The rest is dealt into blocks
     that meet the key's lines; only what is near leaves the join.
     """
-    member = shared.select("seg", "id", "p", "i", "n").join(texts, "id")
+    member = shared.select("seg", "id", "i", "n").join(texts, "id")
     leader = member.groupBy("seg").agg(F.min(F.struct("first", "line")).alias("lead"))
     led = member.join(leader, "seg").withColumn("near", (F.col("first") > F.col("lead.first")) & _within("line", "lead.line", distance))
     led = materialize(led.drop("lead"), "led")
@@ -118,9 +129,9 @@ def _hot(shared: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
     # Lines settled under any key need no other witness, but may be one.
     open_ = led.join(settled.withColumn("done", F.lit(True)), ["h1", "h2"], "left").where("done IS NULL")
     blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
-    left = open_.select("seg", F.pmod(F.xxhash64("id"), blocks).alias("block"), "h1", "h2", "line", "first", "p", "i")
-    right = led.select("seg", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("line").alias("other"), F.col("first").alias("other_first"), F.col("p").alias("other_p"), F.col("i").alias("other_i"))
-    meets = (F.col("p") & F.col("other_i")) | (F.col("i") & F.col("other_p"))
+    left = open_.select("seg", F.pmod(F.xxhash64("id"), blocks).alias("block"), "h1", "h2", "line", "first", "i")
+    right = led.select("seg", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("line").alias("other"), F.col("first").alias("other_first"), F.col("i").alias("other_i"))
+    meets = (F.col("i") == 1) | (F.col("other_i") == 1)
     on = [left["seg"] == right["seg"], left["block"] == right["block"], F.col("other_first") < F.col("first"), meets, _within("line", "other", distance)]
     return settled.unionByName(left.join(right, on, "left_semi").select("h1", "h2"))
 
@@ -129,9 +140,9 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, min_chars: int = M
     """(doc_id, key, removed): for documents that lose lines, the numbers of those, from 0."""
     lines = lines_of(docs).where(F.length("line") >= min_chars)
     at = F.struct("doc_id", "key", "line_no")
-    seen = lines.select(*_two_hashes(F.col("line")), at.alias("at")).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    seen = lines.select(*_two_hashes(F.col("line")), at.alias("at")).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"))
     seen = materialize(seen, "lines")
-    near = near_lines(lines, seen.select("h1", "h2", "first"), distance, min_chars, key_most).withColumn("near", F.lit(True))
+    near = near_lines(lines, seen.select("h1", "h2", "first", "n"), distance, min_chars, key_most).withColumn("near", F.lit(True))
     touched = seen.join(near, ["h1", "h2"], "left").where((F.col("first") < F.col("last")) | F.col("near"))
     touched = materialize(touched.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "touched")
     rows = lines.select("doc_id", "key", "line_no", *_two_hashes(F.col("line"))).join(by_size(touched, touched.count(), 80), ["h1", "h2"])
@@ -154,9 +165,9 @@ def line_dedup(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_C
     n = gone.count()
     texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    texts = texts.select("row", F.col("row.doc_id").cast("long").alias("d"), F.xxhash64(text).alias("k"), F.split(text, "\n", -1).alias("parts"))
+    texts = texts.select("row", F.col("row.doc_id").cast("long").alias("d"), F.xxhash64(text).alias("k"))
     own = gone.select(F.col("doc_id").alias("g"), F.col("key").alias("gk"), "removed")
-    out = texts.join(by_size(own, n, 160), F.col("d").eqNullSafe(F.col("g")) & (F.col("k") == F.col("gk")), "left")
+    out = texts.join(by_size(own, n, 160), F.col("d").eqNullSafe(F.col("g")) & (F.col("k") == F.col("gk")), "left").withColumn("parts", F.split(text, "\n", -1))
     kept = F.array_join(F.filter("parts", lambda _, i: ~F.coalesce(F.array_contains("removed", i), F.lit(False))), "\n")
     kept = F.when(F.col("removed").isNull(), text).otherwise(kept)
     removed = F.coalesce(F.array_size("removed"), F.lit(0)).cast("long")
