@@ -197,7 +197,12 @@ def keepers(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE_WORD
     That is the row with the smallest doc_id; of several texts under that id, the
     one with the smallest key.
     """
-    first = classed(docs, distance, words).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first_rows(classed(docs, distance, words))
+
+
+def first_rows(rows: DataFrame) -> DataFrame:
+    """(doc_id, key, rows) of each component's row to keep, from (doc_id, key, root, component_id)."""
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = first.groupBy("root", "doc_id", "key").agg(F.count("*").alias("rows"))
     return first.groupBy("root").agg(F.min(F.struct("doc_id", "key", "rows")).alias("k")).select("k.*")
 
