@@ -35,7 +35,7 @@ TEMPLATES = {
     "mpl-notice": ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 }
 THRESHOLD = 0.8
-#: A line is one block; a longer one is cut into blocks of this many words that overlap by half.
+#: A line is one block; a longer one, and the whole text across its lines, is cut into blocks of this many words that overlap by half.
 BLOCK_WORDS = 128
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -127,16 +127,22 @@ def scan_text(data: bytes, index: ContainmentIndex, phrases: dict[bytes, str], b
             at = joined.find(phrase, at + 1)
     blocks, labels = [], set(base)
     if not index.prefix_words.isdisjoint(words):
-        before = 0
+        lines, before = [], 0
         for line in data.split(b"\n"):
             own = words_of(line)
+            if own:
+                lines.append((before, own))
+            before += len(own)
+        # Notices are wrapped: the words of all lines are one more stream of blocks.
+        met = set()
+        for first, own in [*lines, (0, words)] if len(lines) > 1 else lines:
             for start, block in _blocks(own, block_words):
-                if index.prefix_words.isdisjoint(block):
+                if index.prefix_words.isdisjoint(block) or (first + start, len(block)) in met:
                     continue
+                met.add((first + start, len(block)))
                 for t, share in index.probe(block):
-                    blocks.append({"template": index.names[t], "label": index.labels[t], "first_word": before + start, "n_words": len(block), "containment": share})
+                    blocks.append({"template": index.names[t], "label": index.labels[t], "first_word": first + start, "n_words": len(block), "containment": share})
                     labels.add(index.labels[t])
-            before += len(own)
     score = 1.0 if places else max((b["containment"] for b in blocks), default=0.0)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks
 
@@ -150,7 +156,7 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, str]] | None =
     The score is 1 with a phrase, else the best containment found, else 0. Null
     texts count as empty: no words, no labels, score 0. Repeated rows give
     repeated rows; other columns are ignored; an empty table gives no rows.
-    A template of n words is found whole wherever n <= block_words / 2.
+    A template of n words is found whole wherever n <= block_words / 2, however it is wrapped.
     """
     templates = TEMPLATES if templates is None else templates
     keyed = {f" {p} ".encode(): label for p, label in (PHRASES if phrases is None else phrases).items()}

@@ -1,5 +1,6 @@
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -143,6 +144,17 @@ def test_template_inside_a_long_line():
     assert labels == "bsd" and score == 1.0 and blocks
 
 
+@pytest.mark.parametrize("name", ["mit-grant", "bsd-terms", "mpl-notice", "apache-terms", "gpl-terms"])
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_template(name, mark):
+    index = license_scan.ContainmentIndex(license_scan.TEMPLATES, {})
+    label, notice = license_scan.TEMPLATES[name]
+    text = "\n".join(mark + x for x in ["Some code", "", *textwrap.wrap(notice, 40), "", *textwrap.wrap("filler " * 300, 72)])
+    *_, labels, score, blocks = license_scan.scan_text(text.encode(), index, {})
+    assert label in labels.split(",") and score == 1.0
+    assert any(b["template"] == name and b["first_word"] == 0 for b in blocks)
+
+
 # --- neighbours ---------------------------------------------------------------------------------
 
 
