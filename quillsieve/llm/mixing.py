@@ -3,9 +3,11 @@
 Tokens are summed by cell (source, language, topic). The cells' weights are
 raked: scaled to the target share of every source, then of every language, then
 of every topic, again and again until all three margins hold. A document's
-probability is its cell's weight over the cell's tokens, scaled so that the
-largest is 1; the sample then has the targets' shares in expectation and no
-document twice.
+probability is its cell's weight over the cell's tokens. Either it is scaled so
+that the largest is 1, or so that a given share of all tokens is expected. In
+that case no cell can give more than it has: a scarce one is kept whole, what
+its values lack goes to the other values in proportion, and the raking makes up
+for it in the other cells. No document is sampled twice.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ ROUNDS_PER_PLAN = 5
 TOLERANCE = 1e-9
 #: Most cells for which a margin's sums are taken by window.
 WINDOW_MOST = 1_000_000
+#: Values out of reach are scaled up in every round; this keeps them finite.
+_RAW_MOST = 1e100
 SEED = "mix-1"
 
 
@@ -54,7 +58,20 @@ def default_targets(cells: DataFrame, powers: dict[str, float] | None = None) ->
     return out
 
 
-def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE, window_most: int = WINDOW_MOST) -> DataFrame:
+def _within_reach(margin: DataFrame, name: str) -> DataFrame:
+    """(name, share) of (name, share, cap): shares summing to 1 and none above its cap, the others in proportion."""
+    margin, scale = materialize(margin, "margin-caps"), 1.0
+    while True:
+        full = F.col("share") * F.lit(scale) >= F.col("cap")
+        sums = margin.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("share")))).first()
+        # The scale only grows: each look fills further values or is the last.
+        grown = max(scale, (1 - (sums[0] or 0.0)) / sums[1]) if sums[1] else scale
+        if grown <= scale * (1 + 1e-12):
+            return margin.select(name, F.least("cap", F.col("share") * F.lit(scale)).alias("share"))
+        scale = grown
+
+
+def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE, window_most: int = WINDOW_MOST, sample_share: float | None = None) -> DataFrame:
     """(source, lang, topic, tokens, weight): weights with the targets' margins, summing to 1.
 
     Targets for values that no cell with tokens has are left out, and so are the
@@ -64,17 +81,30 @@ def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance:
     Up to `window_most` cells, rounds are window sums chained in one plan; with
     more, a margin's sums are aggregated and joined, so that no task gets all
     cells of a value.
+
+    With `sample_share`, no weight is above the cell's share of the tokens over
+    `sample_share`; targets that this leaves out of reach are met as far as it goes.
     """
     current, wanted = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double")), {}
     for name in DIMENSIONS:
         wanted[name] = targets.where((F.col("dimension") == name) & (F.col("share") > 0)).select(F.col("value").alias(name), "share")
         current = current.join(wanted[name].select(name), name, "left_semi")
     current = materialize(current, "cells")
-    total, margins, sizes = current.count(), {}, {}
+    total, tokens = current.agg(F.count("*"), F.sum("tokens")).first()
+    margins, sizes, bounded = {}, {}, sample_share is not None
+    # Raking scales `raw`; the weight is what of it the cell can give.
+    most = F.col("tokens") / F.lit(sample_share * (tokens or 1)) if bounded else None
+    if bounded:
+        current = current.withColumnRenamed("weight", "raw")
+    held_of = F.sum(F.least("raw", most)) if bounded else F.sum("weight")
+    raw = "raw" if bounded else "weight"
     for name in DIMENSIONS:
         own = wanted[name].join(current.select(name).distinct(), name, "left_semi")
         whole = own.agg(F.sum("share").alias("whole"))
-        margins[name] = materialize(own.crossJoin(F.broadcast(whole)).select(name, (F.col("share") / F.col("whole")).alias(f"{name}_share")), "margin")  # one row is broadcast
+        own = own.crossJoin(F.broadcast(whole)).select(name, (F.col("share") / F.col("whole")).alias("share"))  # one row is broadcast
+        if bounded:
+            own = _within_reach(own.join(current.groupBy(name).agg(F.sum(most).alias("cap")), name), name)
+        margins[name] = materialize(own.withColumnRenamed("share", f"{name}_share"), "margin")
         sizes[name] = margins[name].count()
         current = current.join(by_size(margins[name], sizes[name], 64), name)
     columns = current.columns
@@ -84,24 +114,24 @@ def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance:
         for _ in range(min(ROUNDS_PER_PLAN, rounds - done)):
             for name in DIMENSIONS:
                 if total <= window_most:
-                    held = F.sum("weight").over(Window.partitionBy(name))
-                    current = current.withColumn("weight", F.col("weight") * F.col(f"{name}_share") / held)
+                    held = held_of.over(Window.partitionBy(name))
+                    current = current.withColumn(raw, F.least(F.col(raw) * F.col(f"{name}_share") / held, F.lit(_RAW_MOST)))
                 else:
-                    sums = materialize(current.groupBy(name).agg(F.sum("weight").alias("held")), "held")
-                    current = current.join(by_size(sums, sizes[name], 64), name).withColumn("weight", F.col("weight") * F.col(f"{name}_share") / F.col("held"))
+                    sums = materialize(current.groupBy(name).agg(held_of.alias("held")), "held")
+                    current = current.join(by_size(sums, sizes[name], 64), name).withColumn(raw, F.least(F.col(raw) * F.col(f"{name}_share") / F.col("held"), F.lit(_RAW_MOST)))
                     current = materialize(current.select(*columns), "cells")
             done += 1
         current = materialize(current, "cells")
         off = 0.0
         for name in DIMENSIONS:
-            worst = current.groupBy(name).agg((F.sum("weight") / F.max(f"{name}_share") - 1).alias("off")).agg(F.max(F.abs("off"))).first()[0]
+            worst = current.groupBy(name).agg((held_of / F.max(f"{name}_share") - 1).alias("off")).agg(F.max(F.abs("off"))).first()[0]
             off = max(off, worst or 0.0)
         if off <= tolerance:
             break
-    return current.select(*DIMENSIONS, "tokens", "weight")
+    return current.select(*DIMENSIONS, "tokens", (F.least("raw", most) if bounded else F.col("weight")).alias("weight"))
 
 
-def mix(docs: DataFrame, targets: DataFrame | None = None, topic: Column | None = None, seed: str = SEED, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame | None = None, topic: Column | None = None, seed: str = SEED, rounds: int = ROUNDS, sample_share: float | None = None) -> DataFrame:
     """(row, source, lang, topic, n_tokens, probability, sampled), a row for each row of
     `docs`; `row` holds all its columns.
 
@@ -109,7 +139,14 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, topic: Column | None
     weight, or without tokens in its cell, has probability 0. Whether a document
     is sampled depends on its id and cell alone, so repeated rows share their
     fate; an empty table gives no rows.
+
+    Without `sample_share` the largest probability is 1, so the cell that is
+    scarcest for its weight sets the size of the sample. With it (above 0, at most
+    1), that share of the tokens of all cells with weight is expected in the sample,
+    and cells too scarce for their weight are kept whole.
     """
+    if sample_share is not None and not 0 < sample_share <= 1:
+        raise ValueError("sample_share must be above 0 and at most 1")
     topic = topic_of(F.col("text")) if topic is None else topic
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
@@ -118,9 +155,12 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, topic: Column | None
         tokens_of(F.col("text")).alias("n_tokens"),
     )
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    raked = rake(cells, default_targets(cells) if targets is None else targets, rounds)
+    raked = rake(cells, default_targets(cells) if targets is None else targets, rounds, sample_share=sample_share)
     ratio = raked.withColumn("ratio", F.col("weight") / F.col("tokens"))
-    top = ratio.agg(F.max("ratio").alias("top"))
-    chances = ratio.crossJoin(F.broadcast(top)).select(*DIMENSIONS, F.round(F.col("ratio") / F.col("top"), 9).alias("probability"))  # one row is broadcast
+    if sample_share is None:
+        top = ratio.agg(F.max("ratio").alias("top"))
+    else:
+        top = ratio.agg((1 / (F.lit(sample_share) * F.sum("tokens"))).alias("top"))
+    chances = ratio.crossJoin(F.broadcast(top)).select(*DIMENSIONS, F.round(F.least(F.col("ratio") / F.col("top"), F.lit(1.0)), 9).alias("probability"))  # one row is broadcast
     out = rows.join(by_size(chances, cells.count(), 160), list(DIMENSIONS), "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
     return out.select("row", *DIMENSIONS, "n_tokens", "probability", (uniform(F.col("row.doc_id"), seed) < F.col("probability")).alias("sampled"))
