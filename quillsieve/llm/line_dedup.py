@@ -21,6 +21,8 @@ from .common import by_size, materialize
 
 DISTANCE = 2
 MIN_CHARS = 20
+#: Length from which the query and the pipeline drop exact repeats of lines under MIN_CHARS.
+EXACT_CHARS = 1
 #: Lines that meet under one key by pairs; more of them meet the key's first line, then block by block.
 KEY_MOST = 64
 _BLOCK = 256
@@ -136,13 +138,15 @@ def _hot(shared: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
     return settled.unionByName(left.join(right, on, "left_semi").select("h1", "h2"))
 
 
-def repeated_lines(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS, key_most: int = KEY_MOST) -> DataFrame:
+def repeated_lines(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS, key_most: int = KEY_MOST, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, key, removed): for documents that lose lines, the numbers of those, from 0."""
-    lines = lines_of(docs).where(F.length("line") >= min_chars)
+    least = min_chars if exact_chars is None else exact_chars
+    lines = lines_of(docs).where((F.length("line") >= min_chars) | ((F.length("line") >= least) & F.col("line").rlike(r"[^\x20\x09-\x0D]")))
+    long = F.length("line") >= min_chars
     at = F.struct("doc_id", "key", "line_no")
-    seen = lines.select(*_two_hashes(F.col("line")), at.alias("at")).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"))
+    seen = lines.select(*_two_hashes(F.col("line")), at.alias("at"), long.alias("long")).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"), F.max("long").alias("long"))
     seen = materialize(seen, "lines")
-    near = near_lines(lines, seen.select("h1", "h2", "first", "n"), distance, min_chars, key_most).withColumn("near", F.lit(True))
+    near = near_lines(lines.where(long), seen.where("long").select("h1", "h2", "first", "n"), distance, min_chars, key_most).withColumn("near", F.lit(True))
     touched = seen.join(near, ["h1", "h2"], "left").where((F.col("first") < F.col("last")) | F.col("near"))
     touched = materialize(touched.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "touched")
     rows = lines.select("doc_id", "key", "line_no", *_two_hashes(F.col("line"))).join(by_size(touched, touched.count(), 80), ["h1", "h2"])
@@ -150,18 +154,20 @@ def repeated_lines(docs: DataFrame, distance: int = DISTANCE, min_chars: int = M
     return gone.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("removed"))
 
 
-def line_dedup(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS, key_most: int = KEY_MOST) -> DataFrame:
+def line_dedup(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS, key_most: int = KEY_MOST, exact_chars: int | None = None) -> DataFrame:
     """(row, n_lines, n_removed, kept), a row for each row of `docs`; `row` holds all its columns.
 
     Of lines with at least `min_chars` characters, one goes if the same line, or a
     different one within `distance` edits, is first seen earlier: by doc_id, then
-    line number. Shorter lines stay. Texts are split at line feeds only; `kept` is
+    line number. Of shorter lines with at least `exact_chars` characters, one goes
+    if the same line is first seen earlier, but blank ones stay; without
+    `exact_chars` all of them stay. Texts are split at line feeds only; `kept` is
     what stays, joined by them. Null texts count as one empty line. Null doc_ids
     come before all others. Documents that share doc_id and text are the same one
     and keep the same lines; documents that only share doc_id are put in order
     by a hash of the text.
     """
-    gone = materialize(repeated_lines(docs, distance, min_chars, key_most), "removed")
+    gone = materialize(repeated_lines(docs, distance, min_chars, key_most, exact_chars), "removed")
     n = gone.count()
     texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text = F.coalesce(F.col("row.text"), F.lit(""))

@@ -41,7 +41,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"), exact_chars=line_dedup.EXACT_CHARS)
     return out.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
