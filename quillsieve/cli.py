@@ -1,4 +1,4 @@
-"""Command line: search, load, build-index, curate, pack, add-local."""
+"""Command line: seed, search, load, build-index, curate, pack, add-local."""
 
 from __future__ import annotations
 
@@ -6,16 +6,19 @@ import argparse
 import sys
 import tempfile
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from .operators.filters import has_description
-from .operators.index import build_index, with_order
-from .operators.merge import local_rows, sanitize_entries, upsert
+from .operators.index import build_index, numbered
+from .operators.merge import local_rows, sanitize_entries, upsert_lines
 from .operators.search import DEFAULT_K, search
-from .plans.curate import curate
-from .plans.pack import lookup_body, pack
-from .sources.documents import read_bundle, read_jsonl, unpack_bundle
-from .sources.writers import IndexCorrupt, IndexMissing, check_jsonl, hits_as_json, read_index, replace_table, shown, write_index
+from .plans.curate import PRIORITY, curate
+from .plans.pack import ATTRIBUTION, lookup_body, pack
+from .sources.documents import discover_all, read_bundle, read_extra_lines, read_jsonl, unpack_bundle
+from .sources.writers import IndexCorrupt, IndexMissing, check_jsonl, hits_as_json, read_index, replace_table, shown, write_index, write_raw
+from .storage import scope
 
 
 def _session() -> SparkSession:
@@ -24,9 +27,25 @@ def _session() -> SparkSession:
     return spark
 
 
+def _pair(text: str) -> tuple[str, str]:
+    name, found, value = text.partition("=")
+    if not (name and found):
+        raise argparse.ArgumentTypeError(f"{text!r} is not NAME=VALUE")
+    return name, value
+
+
+def _ranked(text: str) -> tuple[str, int]:
+    name, value = _pair(text)
+    return name, int(value)
+
+
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quillsieve")
     sub = top.add_subparsers(dest="command", required=True)
+    p = sub.add_parser("seed", help="collect the documents of folders into one")
+    p.add_argument("sources", nargs="+", type=_pair, metavar="NAME=FOLDER")
+    p.add_argument("--out", required=True)
+    p.add_argument("--clean", action="store_true", help="empty the target first")
     p = sub.add_parser("search", help="best documents for a query")
     p.add_argument("query")
     p.add_argument("k", nargs="?", type=int, default=DEFAULT_K)
@@ -44,15 +63,20 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--density-floor", type=int, default=200)
     p.add_argument("--dedup-threshold", type=float, default=0.90)
     p.add_argument("--vectors", help="Parquet table (id, vector); without it near-duplicates stay")
+    p.add_argument("--no-dedup", action="store_true", help="leave near-duplicates, whatever vectors there are")
+    p.add_argument("--priority", action="append", default=[], type=_ranked, metavar="SOURCE=NUMBER", help="smaller numbers are kept first")
+    p.add_argument("--report", help="file for the report")
     p = sub.add_parser("pack", help="build a corpus and its index")
     p.add_argument("folder")
     p.add_argument("--out-dir", required=True)
     p.add_argument("--verdicts")
     p.add_argument("--extras")
     p.add_argument("--skip-prefix", action="append", default=[])
+    p.add_argument("--attribution", action="append", default=[], type=_pair, metavar="SOURCE=URL")
+    p.add_argument("--readme", help="file that describes the package; makes a bundle")
     p = sub.add_parser("add-local", help="add a file, folder or archive to the extras")
     p.add_argument("source")
-    p.add_argument("--extras", required=True, help="Parquet table of extras")
+    p.add_argument("--extras", required=True, help="JSON lines")
     p.add_argument("--strip-frontmatter", action="store_true")
     p.add_argument("--dry-run", action="store_true")
     return top
@@ -66,12 +90,23 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         return int(stop.code or 0)
     spark = spark or _session()
     try:
-        return {"search": _search, "load": _load, "build-index": _build, "curate": _curate, "pack": _pack, "add-local": _add}[a.command](spark, a)
-    except (IndexMissing, IndexCorrupt, ValueError, FileNotFoundError) as error:
-        print(f"{type(error).__name__}: {error}", file=sys.stderr)
+        with scope():  # nothing that a command returns is read after it
+            return {"seed": _seed, "search": _search, "load": _load, "build-index": _build, "curate": _curate, "pack": _pack, "add-local": _add}[a.command](spark, a)
+    except (IndexMissing, IndexCorrupt, ValueError, OSError, PySparkException, Py4JJavaError) as error:
+        print(f"{type(error).__name__}: {str(error).splitlines()[0]}", file=sys.stderr)
         return 1
 
 
+def _seed(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Sources that can't be read are named and cost only themselves; 1 if nothing at all was found."""
+    rows, found, failed = discover_all(spark, dict(a.sources))
+    total = write_raw(rows, a.out, a.clean)
+    print(found, f"total {total}")
+    for name, reason in failed.items():
+        print(f"{name}: {reason}", file=sys.stderr)
+    return 1 if failed and not total else 0
+
+
 def _search(spark: SparkSession, a: argparse.Namespace) -> int:
     rows = hits_as_json(search(a.query, read_index(spark, a.index), a.k).drop("rank")).collect()  # k rows
     print("[" + ",\n ".join(r["value"] for r in rows) + "]")
@@ -90,18 +125,23 @@ def _load(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def _build(spark: SparkSession, a: argparse.Namespace) -> int:
     check_jsonl(spark, a.corpus)
-    print(write_index(build_index(with_order(read_jsonl(spark, a.corpus))), a.index))
+    entries = numbered(read_jsonl(spark, a.corpus), "ord").drop("ord").withColumnRenamed("visit", "ord")
+    print(write_index(build_index(entries), a.index))
     return 0
 
 
 def _curate(spark: SparkSession, a: argparse.Namespace) -> int:
-    vectors = spark.read.parquet(a.vectors) if a.vectors else None
-    print(curate(spark, a.folder, a.out, floor=a.density_floor, threshold=a.dedup_threshold, vectors=vectors))
+    vectors = spark.read.parquet(a.vectors) if a.vectors and not a.no_dedup else None
+    priorities = spark.createDataFrame(a.priority, PRIORITY)
+    print(curate(spark, a.folder, a.out, priorities, a.density_floor, a.dedup_threshold, vectors, report=a.report))
     return 0
 
 
 def _pack(spark: SparkSession, a: argparse.Namespace) -> int:
-    print(pack(spark, a.folder, a.out_dir, a.verdicts, a.extras, prefixes=tuple(a.skip_prefix)))
+    done = pack(spark, a.folder, a.out_dir, a.verdicts, a.extras, spark.createDataFrame(a.attribution, ATTRIBUTION), tuple(a.skip_prefix), a.readme)
+    if done.warning:
+        print(done.warning, file=sys.stderr)
+    print(done)
     return 0
 
 
@@ -112,14 +152,13 @@ def _add(spark: SparkSession, a: argparse.Namespace) -> int:
         rows = rows.where(has_description(rows["description"]))
         if rows.isEmpty():
             raise ValueError(f"nothing to add in {a.source}")
-        try:
-            old = spark.read.parquet(a.extras)
-        except Exception:  # noqa: BLE001 - no extras yet
-            old = rows.limit(0)
-        new, counts = upsert(old, rows)
+        old = read_extra_lines(spark, a.extras)
+        if old is None:  # only a path that doesn't exist; one that can't be read is an error and stays
+            old = spark.createDataFrame([], "id string, line string")
+        lines, counts = upsert_lines(old, rows)
         print(counts.first().asDict())
         if not a.dry_run:
-            replace_table(new.orderBy("id"), a.extras)
+            replace_table(lines, a.extras, "text")
     return 0
 
 

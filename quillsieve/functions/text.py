@@ -17,9 +17,14 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+def words(text: Column) -> Column:
+    """Runs of ASCII letters and digits as they stand."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([a-zA-Z0-9]+)"), 1)
+
+
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters and digits, lower-cased after they are found."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([a-zA-Z0-9]+)"), 1), F.lower)
+    return F.transform(words(text), F.lower)
 
 
 def indexed_text(name: Column, description: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import discard, materialize
 
 
 def first_independent(edges: DataFrame) -> DataFrame:
@@ -41,28 +41,27 @@ def first_independent(edges: DataFrame) -> DataFrame:
 def first_by_keys(rows: DataFrame, order: str, keys: list[Column]) -> DataFrame:
     """`rows` with `accepted`: a row is rejected if an accepted earlier row has one of its keys.
 
-    Rejected rows claim no key. Each round takes minima by key, so groups of any
-    size are combined before they move.
+    Rejected rows claim no key, and a null key claims and meets nothing. Each round
+    takes minima by key, so groups of any size are combined before they move.
     """
     named = {f"_k{i}": k for i, k in enumerate(keys)}
-    keyed = materialize(rows.select(F.col(order).alias("_o"), *[k.alias(n) for n, k in named.items()]), "keyed")
-    open_, done = keyed, None
+    open_ = materialize(rows.select(F.col(order).alias("_o"), *[k.alias(n) for n, k in named.items()]), "keyed")
+    done = None
     while not open_.isEmpty():
-        best = open_
+        ok, best = F.lit(True), open_
         for n in named:
-            best = best.join(open_.groupBy(n).agg(F.min("_o").alias(f"_min{n}")), n)
-        ok = F.lit(True)
+            least = open_.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("_o").alias(f"_min{n}"))
+            best = best.join(least, n, "left")
+            ok = ok & (F.col(n).isNull() | (F.col("_o") == F.col(f"_min{n}")))
+        judged = materialize(best.select("_o", *named, ok.alias("_ok")), "judged")
+        discard(open_)
+        taken, rest = judged.where("_ok"), judged.where("NOT _ok")
         for n in named:
-            ok = ok & (F.col("_o") == F.col(f"_min{n}"))
-        taken = materialize(best.where(ok).select("_o", *named), "taken")
-        rest = open_
-        for n in named:
-            rest = rest.join(taken.select(n).distinct(), n, "left_anti")
-        open_ = materialize(rest.select("_o", *named), "keyed")
+            rest = rest.join(taken.where(F.col(n).isNotNull()).select(n).distinct(), n, "left_anti")
         done = taken.select("_o") if done is None else done.unionByName(taken.select("_o"))
+        open_ = materialize(rest.select("_o", *named), "keyed")
+    discard(open_)
     if done is None:
         return rows.withColumn("accepted", F.lit(True))
     out = rows.join(done.withColumn("_ok", F.lit(True)), F.col(order) == F.col("_o"), "left")
     return out.withColumn("accepted", F.coalesce("_ok", F.lit(False))).drop("_o", "_ok")
-
-

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions.invisible import strip_invisible
+from ..storage import materialize
 
 INDEXED = "id, name, description, ord"
 
@@ -35,19 +36,14 @@ def first_by_fingerprint(entries: DataFrame, order: str = "ord") -> DataFrame:
     return keyed.join(first, F.col(order) == F.col("_first"), "left_semi").drop("_fp")
 
 
-def with_order(entries: DataFrame, id_column: str = "id") -> DataFrame:
-    """`ord`: the corpus order as a sortable key, that of the entries' file names."""
-    return entries.withColumn("ord", tx.file_order(F.col(id_column)))
-
-
 def numbered(entries: DataFrame, *order: str) -> DataFrame:
     """`visit`: positions from 0 in the given order.
 
-    Rows are range-partitioned, counted by partition and numbered inside: no task
-    sees all rows.
+    Rows are range-partitioned and written once, so that counts by partition and
+    numbers inside come from one and the same cut: no task sees all rows.
     """
     dealt = entries.repartitionByRange(*order).sortWithinPartitions(*order)
-    at = dealt.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    at = materialize(dealt.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "numbered")
     counts = at.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     low = F.pmod(F.col("_m"), F.lit(1 << 33))
@@ -58,8 +54,10 @@ def tokenised(entries: DataFrame) -> DataFrame:
     return entries.withColumn("tokens", tx.tokens(tx.indexed_text(F.col("name"), F.col("description"))))
 
 
-def term_frequencies(tokenised_: DataFrame) -> DataFrame:
-    return tokenised_.select("id", F.explode("tokens").alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"))
+def term_frequencies(entries: DataFrame) -> DataFrame:
+    """(token, id, tf) of entries (id, name, description); words are lower-cased one by one, after the explode."""
+    words = tx.words(tx.indexed_text(F.col("name"), F.col("description")))
+    return entries.select("id", F.explode(words).alias("word")).groupBy(F.lower("word").alias("token"), "id").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
@@ -84,7 +82,7 @@ def build_index(entries: DataFrame, dedup: bool = True, sanitize: bool = True) -
         rows = rows.withColumns({c: strip_invisible(F.col(c)) for c in ("name", "description")})
     if dedup:
         rows = first_by_fingerprint(rows)
-    rows = tokenised(rows)
     postings = term_frequencies(rows)
-    docs = rows.select("id", "name", "description", F.size("tokens").cast("long").alias("dl"), "ord")
+    dl = F.size(tx.words(tx.indexed_text(F.col("name"), F.col("description")))).cast("long")
+    docs = rows.select("id", "name", "description", dl.alias("dl"), "ord")
     return Index(postings, docs, document_frequencies(postings), corpus_stats(docs))

@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..functions.invisible import strip_invisible
 from .filters import is_valid_extra
 from .greedy import first_by_keys
+from .index import numbered
 
 FIELDS = ("name", "description", "body")
 
@@ -39,7 +40,8 @@ def merge_extras(corpus: DataFrame, extras: DataFrame, order: str = "ord") -> Me
     """Append those extras whose id and fingerprint are new, in order.
 
     An extra that lacks a field is invalid; one whose id or fingerprint is in the
-    corpus, or in an extra accepted before it, is a duplicate.
+    corpus, or in an extra accepted before it, is a duplicate. If the corpus has a
+    numeric `ord`, that of the appended rows goes on where it ends.
     """
     checked = sanitize_entries(extras).withColumn("_ok", is_valid_extra(F.col("id"), F.col("name"), F.col("description")))
     valid = checked.where("_ok").drop("_ok")
@@ -50,7 +52,13 @@ def merge_extras(corpus: DataFrame, extras: DataFrame, order: str = "ord") -> Me
     taken = accepted.select(F.col(order).alias("_taken"))
     verdict = F.when(~F.col("_ok"), "invalid").when(F.col("_taken").isNotNull(), "appended").otherwise("duplicate")
     verdicts = checked.join(taken, F.col(order) == F.col("_taken"), "left").select(order, "id", verdict.alias("verdict"))
-    return Merged(corpus.unionByName(accepted.drop(order), allowMissingColumns=True), verdicts)
+    if "ord" in corpus.columns:
+        last = corpus.agg(F.coalesce(F.max("ord"), F.lit(-1)).cast("long").alias("_last"))
+        accepted = numbered(accepted, order).crossJoin(F.broadcast(last))  # one row is broadcast
+        accepted = accepted.withColumn("ord", F.col("_last") + 1 + F.col("visit")).drop("visit", "_last")
+    else:
+        accepted = accepted.drop(order)
+    return Merged(corpus.unionByName(accepted, allowMissingColumns=True), verdicts)
 
 
 def upsert(existing: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,3 +78,13 @@ def local_rows(files: DataFrame, bundle: str, strip_header: bool = False) -> Dat
     name = F.coalesce(F.nullif(F.try_element_at("_m", F.lit("name")), F.lit("")), F.col("id"))
     body = tx.strip_front_matter(F.col("text")) if strip_header else F.col("text")
     return rows.select("id", name.alias("name"), F.coalesce(F.try_element_at("_m", F.lit("description")), F.lit("")).alias("description"), body.alias("body"))
+
+
+def upsert_lines(existing: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, counts): `existing` (id, line) with `rows` as JSON in place of the lines of their ids, sorted by id.
+
+    Lines without an id, malformed ones too, stay as they are, behind the others.
+    """
+    new = rows.select("id", F.to_json(F.struct(*rows.columns)).alias("line"))
+    out, counts = upsert(existing, new)
+    return out.orderBy(F.col("id").asc_nulls_last(), "line").select(F.col("line").alias("value")), counts

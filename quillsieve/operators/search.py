@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,6 +58,9 @@ def search(query: str, index: Index, k: int = DEFAULT_K) -> DataFrame:
         raise ValueError("k must not be negative")
     spark = index.docs.sparkSession
     queries = spark.createDataFrame([(0, query)], "query_id long, text string")
+    # The query's own terms as literals: a filter that reaches the index files, or the words of an index in the making.
+    asked = F.col("token").isin([w.lower() for w in re.findall("[a-zA-Z0-9]+", query)])
+    index = Index(index.postings.where(asked), index.docs, index.terms.where(asked), index.stats)
     found = scores(queries, index).join(index.docs.select("id", "ord", "name", "description"), "id")
     best = found.orderBy(*_order(F.round("score", 9))).limit(k)
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*_order(F.round("score", 9)))))  # k rows

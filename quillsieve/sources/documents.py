@@ -6,17 +6,19 @@ import logging
 import zipfile
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.frontmatter import front_matter
 from ..operators.filters import has_description, is_junk
+from ..storage import materialize
 
 log = logging.getLogger(__name__)
 ENTRY = "id string, name string, description string, body string, source string"
-FILE_NAMES = ("SKILL.md", "skill.md")
+FILE_NAMES = ("SKILL.md", "MODEL.md")
 
 
 def _decoded(content: Column) -> Column:
@@ -43,14 +45,19 @@ def parse_entries(raw: DataFrame, drop_junk: bool = True) -> DataFrame:
     return out.where(has_description(F.col("description")))
 
 
+def _line_order() -> Column:
+    """Sorts rows of text files by file, split and line: a struct, so any layout of files keeps its order."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """(id, name, description, body, source, ord) of JSON lines.
 
     Blank and malformed lines are left out, and so are rows without description;
-    a missing name is the id. `ord` keeps the order of the lines.
+    a missing name is the id. `ord` sorts as the lines stand in their files.
     """
     rows = spark.read.schema(f"{ENTRY}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    rows = rows.withColumn("ord", F.monotonically_increasing_id()).where("_bad IS NULL").drop("_bad")
+    rows = rows.withColumn("ord", _line_order()).where("_bad IS NULL").drop("_bad")
     return rows.where(has_description(F.col("description"))).withColumn("name", F.coalesce(F.nullif("name", F.lit("")), "id"))
 
 
@@ -58,31 +65,75 @@ def read_extras(spark: SparkSession, path: str) -> DataFrame:
     """(id, name, description, body, ord), malformed lines as rows of nulls so that they can be counted."""
     rows = spark.read.schema("id string, name string, description string, body string, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
     bad = F.col("_bad").isNotNull()
-    rows = rows.withColumn("ord", F.monotonically_increasing_id()).where(~(bad & (F.trim("_bad") == "")) | ~bad)
+    rows = rows.withColumn("ord", _line_order()).where(~(bad & (F.trim("_bad") == "")) | ~bad)
     return rows.select(*[F.when(~bad, F.col(c)).alias(c) for c in ("id", "name", "description", "body")], "ord")
 
 
+def read_extra_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """(id, line) of an extras file, id null where a line is no object with one; None where there is no file.
+
+    A file of which no line is a JSON object is no extras file: ValueError.
+    """
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    rows = lines.where(F.trim("value") != "").select(F.get_json_object("value", "$.id").alias("id"), F.col("value").alias("line"))
+    if not rows.isEmpty() and rows.where("line LIKE '{%' AND get_json_object(line, '$') IS NOT NULL").isEmpty():
+        raise ValueError(f"{path} holds no JSON lines")
+    return rows
+
+
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
     """(id, reason); none, with a warning if there is something unreadable, where the table can't be read."""
     try:
         rows = spark.read.parquet(path)
-        return rows.select(F.col("id").cast("string"), F.col("reason").cast("string"))
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            log.warning("verdicts at %s can't be read; nothing is gated: %s", path, error.getErrorClass() if hasattr(error, "getErrorClass") else error)
+        return materialize(rows.select(F.col("id").cast("string"), F.col("reason").cast("string")), "verdicts")
+    except (PySparkException, Py4JJavaError) as error:
+        if not (isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"):
+            log.warning("verdicts at %s can't be read; nothing is gated: %s", path, str(error).splitlines()[0])
         return spark.createDataFrame([], "id string, reason string")
 
 
+def inside(path: str, root: str) -> bool:
+    """Whether a local path, its links followed, is below a root."""
+    return Path(path).resolve().is_relative_to(Path(root).resolve())
+
+
 def discover(spark: SparkSession, root: str, source: str, file_name: str = "SKILL.md") -> DataFrame:
-    """(id, text, ord) of all files of a name below `root`; the id is <source>__<folders joined by __>."""
+    """(id, text, ord) of all files of a name below `root`; the id is <source>__<folders joined by __>.
+
+    Below a local root, files that a link leads out of it to are left out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file_name).load(root)
     base = root.rstrip("/").split("://")[-1].lstrip("/")
-    inside = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/+", "")
-    below = F.substring(inside, len(base) + 2, 1 << 30)
+    place = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/+", "")
+    below = F.substring(place, len(base) + 2, 1 << 30)
     folder = F.regexp_replace(below, r"/?[^/]+$", "")
     slug = F.when(folder == "", F.lit(source)).otherwise(F.concat(F.lit(f"{source}__"), F.replace(folder, F.lit("/"), F.lit("__"))))
-    rows = files.where(F.startswith(inside, F.lit(base + "/"))).select(slug.alias("id"), _decoded(F.col("content")).alias("text"))
-    return rows.withColumn("ord", tx.file_order(F.col("id")))
+    rows = files.where(F.startswith(place, F.lit(base + "/")))
+    local = root if "://" not in root else root.removeprefix("file://") if root.startswith("file://") else None
+    if local is not None and Path(local).is_dir():
+        # Names of links only: a checkout has few, and they are seen by the driver alone.
+        out = [str(p.relative_to(local)) for p in Path(local).rglob("*") if p.is_symlink() and not inside(str(p), local)]
+        for link in out:
+            rows = rows.where(~((below == link) | below.startswith(f"{link}/")))
+    return rows.select(slug.alias("id"), _decoded(F.col("content")).alias("text")).withColumn("ord", tx.file_order(F.col("id")))
+
+
+def discover_all(spark: SparkSession, sources: dict[str, str], file_name: str = "SKILL.md") -> tuple[DataFrame, dict[str, int], dict[str, str]]:
+    """(rows, found, failed) over {source: folder}: a folder that can't be read costs only its own source."""
+    rows, found, failed = spark.createDataFrame([], "id string, text string, ord string"), {}, {}
+    for source, folder in sources.items():
+        try:
+            own = materialize(discover(spark, folder, source, file_name), "discovered")
+            found[source] = own.count()
+            rows = rows.unionByName(own)
+        except (PySparkException, Py4JJavaError, OSError) as error:
+            failed[source] = str(error).splitlines()[0]
+    return rows, found, failed
 
 
 def unpack_bundle(source: str, target: str) -> tuple[str, str]:
@@ -94,7 +145,7 @@ def unpack_bundle(source: str, target: str) -> tuple[str, str]:
     path, place = Path(source), Path(target).resolve()
     if not path.exists():
         raise FileNotFoundError(source)
-    if path.is_file() and path.suffix == ".zip":
+    if path.is_file() and zipfile.is_zipfile(path):
         with zipfile.ZipFile(path) as archive:
             for member in archive.namelist():
                 if not (place / member).resolve().is_relative_to(place):

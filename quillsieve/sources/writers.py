@@ -1,10 +1,11 @@
-"""Writers: index, corpus, verdicts, reports, bundles. Several outputs are staged and then moved."""
+"""Writers: index, corpus, verdicts, bundles. Outputs are staged and then moved into place together."""
 
 from __future__ import annotations
 
-import os
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.invisible import strip_invisible
 from ..operators.index import Index
-from ..storage import delete, rename
+from ..storage import delete, discard, exists, materialize, rename
 
 TABLES = ("postings", "docs", "terms", "stats")
 #: Package metadata: longest description, and from where on a warning is due; fixed values.
@@ -28,35 +29,72 @@ class IndexCorrupt(Exception):
     """What is at the path is no index."""
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def swap(spark: SparkSession, staged: dict[str, str]) -> None:
+    """Move finished paths {from: to} into place, all of them or none.
 
-
-def replace_table(df: DataFrame, path: str, **options: str) -> None:
-    """Write beside `path` and move there, so that a failed write leaves the old table."""
-    spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    What stands at a target is moved aside first and deleted when everything is
+    in place; if a move fails, it is moved back.
+    """
+    for source in staged:
+        if not exists(spark, source):
+            raise FileNotFoundError(source)
+    aside, moved = {}, []
     try:
-        df.write.options(**options).parquet(staged)
+        for source, target in staged.items():
+            if exists(spark, target):
+                kept = f"{target.rstrip('/')}.old-{uuid.uuid4().hex}"
+                rename(spark, target, kept)
+                aside[target] = kept
+            rename(spark, source, target)
+            moved.append(target)
     except BaseException:
-        if _exists(spark, staged):
-            delete(spark, staged)
+        for target in moved:
+            delete(spark, target)
+        for target, kept in aside.items():
+            rename(spark, kept, target)
         raise
-    if _exists(spark, path):
-        delete(spark, path)
-    rename(spark, staged, path)
+    for kept in aside.values():
+        delete(spark, kept)
 
 
-def write_index(index: Index, path: str) -> int:
-    """Write an index; postings are sorted by token so that a reader skips what it doesn't ask for."""
-    replace_table(index.postings.repartitionByRange("token").sortWithinPartitions("token", "id"), f"{path}/postings")
-    replace_table(index.terms.repartitionByRange("token").sortWithinPartitions("token"), f"{path}/terms")
-    replace_table(index.docs, f"{path}/docs")
-    replace_table(index.stats, f"{path}/stats")
+@contextmanager
+def staging(spark: SparkSession, path: str) -> Iterator[str]:
+    """A folder beside `path` to write into; what is left of it goes in the end."""
+    folder = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        if exists(spark, folder):
+            delete(spark, folder)
+
+
+def replace_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Write beside `path` and move there, so that a failed write leaves the old table."""
+    with staging(df.sparkSession, path) as staged:
+        df.write.format(kind).save(staged)
+        swap(df.sparkSession, {staged: path})
+
+
+def _write_tables(index: Index, path: str) -> int:
+    """Postings are sorted by token so that a reader skips what it doesn't ask for."""
+    rows = materialize(index.postings, "postings")
+    rows.repartitionByRange("token").sortWithinPartitions("token", "id").write.parquet(f"{path}/postings")
+    index.terms.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/terms")
+    index.docs.write.parquet(f"{path}/docs")
+    index.stats.write.parquet(f"{path}/stats")
+    discard(rows)
     return index.docs.sparkSession.read.parquet(f"{path}/stats").first()["n"]
 
 
+def write_index(index: Index, path: str) -> int:
+    """Write an index in one step: its four tables are there together, or the old ones stay."""
+    spark = index.docs.sparkSession
+    with staging(spark, path) as staged:
+        count = _write_tables(index, staged)
+        swap(spark, {staged: path})
+    return count
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
     """The index at `path`; IndexMissing or IndexCorrupt if there is none to use."""
     found = {}
@@ -72,14 +110,27 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(**found)
 
 
-def write_corpus(corpus: DataFrame, path: str, order: str = "ord") -> None:
-    """The corpus as Parquet in corpus order."""
-    replace_table(corpus.repartitionByRange(order).sortWithinPartitions(order), path)
+def _in_order(rows: DataFrame, order: str = "ord") -> DataFrame:
+    return rows.repartitionByRange(order).sortWithinPartitions(order)
+
 
+def write_corpus_and_index(corpus: DataFrame, index: Index, out: str, bundle: dict[str, str] | None = None) -> int:
+    """`out`/corpus (Parquet), `out`/corpus.jsonl (a part file for each range) and `out`/index, all of them or none.
 
-def write_jsonl(rows: DataFrame, path: str, order: str) -> None:
-    """JSON lines in order, a part file for each range of it."""
-    rows.repartitionByRange(order).sortWithinPartitions(order).drop(*([order] if order == "ord" else [])).write.mode("overwrite").json(path)
+    `bundle` maps names to local files; with it, `out`/bundle.zip holds these and
+    what was written, which needs a folder that the driver sees.
+    """
+    spark = corpus.sparkSession
+    with staging(spark, f"{out}/build") as staged:
+        _in_order(corpus).write.parquet(f"{staged}/corpus")
+        _in_order(corpus).drop("ord").write.json(f"{staged}/corpus.jsonl")
+        count = _write_tables(index, f"{staged}/index")
+        names = ["corpus", "corpus.jsonl", "index"]
+        if bundle is not None:
+            zip_folder(staged, f"{staged}/bundle.zip", bundle)
+            names.append("bundle.zip")
+        swap(spark, {f"{staged}/{n}": f"{out}/{n}" for n in names})
+    return count
 
 
 def write_verdicts(verdicts: DataFrame, path: str) -> None:
@@ -87,6 +138,29 @@ def write_verdicts(verdicts: DataFrame, path: str) -> None:
     replace_table(verdicts.where(F.col("reason").isNotNull()).select("id", "reason"), path)
 
 
+def write_text(text: str, path: str) -> None:
+    """A small local file, written beside its place and moved there."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    staged = target.with_name(f"{target.name}.staged-{uuid.uuid4().hex}")
+    staged.write_text(text, encoding="utf-8")
+    staged.replace(target)
+
+
+def write_raw(rows: DataFrame, folder: str, clean: bool = False) -> int:
+    """A <id>.md for each row (id, text) in a folder that the driver sees, row by row; of one id the last stays."""
+    place = Path(folder)
+    place.mkdir(parents=True, exist_ok=True)
+    if clean:
+        for old in place.glob("*.md"):
+            old.unlink()
+    count = 0
+    for row in rows.select("id", "text").toLocalIterator():
+        (place / f"{row['id']}.md").write_text(row["text"], encoding="utf-8")
+        count += 1
+    return count
+
+
 def check_jsonl(spark: SparkSession, path: str) -> int:
     """Rows of an existing corpus; ValueError if it is missing, empty, or its first row is no object with an id."""
     try:
@@ -108,22 +182,14 @@ def check_description(text: str) -> str | None:
     return f"description has {len(text)} characters, close to {DESCRIPTION_MOST}" if len(text) > DESCRIPTION_WARN else None
 
 
-def zip_folder(folder: str, target: str) -> None:
-    """All files of a folder, sorted, without operating-system and bytecode leftovers."""
-    base, staged = Path(folder), f"{target}.staged"
-    with zipfile.ZipFile(staged, "w", zipfile.ZIP_DEFLATED) as archive:
-        for path in sorted(p for p in base.rglob("*") if p.is_file()):
-            if "__pycache__" not in path.parts and path.suffix != ".pyc" and path.name not in (".DS_Store", "Thumbs.db"):
-                archive.write(path, path.relative_to(base).as_posix())
-    os.replace(staged, target)
-
-
-def commit_files(staged: dict[str, str]) -> None:
-    """Move finished local files {from: to} into place, after all of them exist."""
-    if missing := [s for s in staged if not Path(s).exists()]:
-        raise FileNotFoundError(", ".join(missing))
-    for source, target in staged.items():
-        os.replace(source, target)
+def zip_folder(folder: str, target: str, more: dict[str, str] | None = None) -> None:
+    """All files of a folder and `more` {name: file}, sorted by name, without leftovers of systems and writers."""
+    base = Path(folder)
+    files = {p.relative_to(base).as_posix(): p for p in base.rglob("*") if p.is_file() and p.suffix not in (".pyc", ".crc") and p.name not in (".DS_Store", "Thumbs.db", "_SUCCESS") and "__pycache__" not in p.parts}
+    files |= {name: Path(path) for name, path in (more or {}).items()}
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name in sorted(files):
+            archive.write(files[name], name)
 
 
 def shown(row_id: Column, body: Column) -> Column:

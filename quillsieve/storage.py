@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import logging
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
 #: Largest estimated size of a join side that may be broadcast.
 BROADCAST_LIMIT = 64 << 20
 
 _written: dict[str, SparkSession] = {}
+_own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,34 +32,78 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='quillsieve-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="quillsieve-"))
+    return f"file://{_own_folder[0]}"
+
+
+def _at(spark: SparkSession, path: str):
+    """(file system, Hadoop path), also after the session has stopped."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    settings = context._jsc.hadoopConfiguration() if context._jsc is not None else context._jvm.org.apache.hadoop.conf.Configuration()
+    return target.getFileSystem(settings), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _at(spark, path)
+    return system.exists(target)
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a path on whatever file system it is."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _at(spark, path)
+    system.delete(target, True)
 
 
 def rename(spark: SparkSession, source: str, target: str) -> None:
     """Move a path; fails if the file system says it didn't."""
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    if not old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(old, new):
+    system, old = _at(spark, source)
+    new = _at(spark, target)[1]
+    if new.getParent() is not None:
+        system.mkdirs(new.getParent())
+    if not system.rename(old, new):
         raise OSError(f"can't move {source} to {target}")
 
 
+def _forget(paths: list[str]) -> None:
+    for path in paths:
+        if spark := _written.pop(path, None):
+            try:
+                delete(spark, path)
+            except Exception as error:  # noqa: BLE001 - one that can't go must not keep the others
+                log.warning("intermediate table %s stays: %s", path, error)
+
+
 @atexit.register
 def release() -> None:
     """Delete the intermediate tables written so far (also runs at exit)."""
-    while _written:
-        path, spark = _written.popitem()
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001 - the session may have ended already
-            return
+    _forget(list(_written))
+    while _own_folder:
+        shutil.rmtree(_own_folder.pop(), ignore_errors=True)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Intermediate tables written inside are deleted at its end; what reads them must be done by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        _forget([p for p in _written if p not in before])
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that `materialize` returned as `df`: nothing may read it any more."""
+    if path := getattr(df, "_written_at", None):
+        _forget([path])
+
+
+def reserve(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder for an intermediate table; it is deleted like those of `materialize`."""
+    path = f"{shared_folder(spark)}/quillsieve/{label}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -63,10 +113,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     rows of one evaluation, so later reads of it agree with each other.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quillsieve/{label}-{uuid.uuid4().hex}"
+    path = reserve(spark, label)
     df.write.parquet(path)
-    _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def by_size(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

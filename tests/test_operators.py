@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillsieve.operators import filters, gates, greedy, merge, rekey, search, vectors
-from quillsieve.operators.index import Index, build_index, first_by_fingerprint, numbered, with_order
+from quillsieve.operators.index import Index, build_index, first_by_fingerprint, numbered
 
 ENTRY = "id string, name string, description string, ord long"
 
@@ -68,11 +68,6 @@ def test_batch_equals_single(spark, small):
     assert [(r["id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 2] == [("a__xls", 1.091), ("a__pdf", 0.801)]
 
 
-def test_file_order(spark):
-    got = with_order(spark.createDataFrame([("a__b",), ("a__b-c",)], "id string")).orderBy("ord").collect()
-    assert [r["id"] for r in got] == ["a__b-c", "a__b"]
-
-
 def test_numbered(spark):
     got = numbered(spark.range(1000).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(50))), "k", "id").orderBy("k", "id").collect()
     assert [r["visit"] for r in got] == list(range(1000))
@@ -138,6 +133,8 @@ def test_first_by_keys_equals_a_scan(spark):
             want.append(i)
     got = greedy.first_by_keys(spark.createDataFrame(rows, "o long, a string, b string"), "o", [F.col("a"), F.col("b")])
     assert sorted(r["o"] for r in got.where("accepted").collect()) == want
+    null = spark.createDataFrame([(1, None, "x"), (2, None, "y"), (3, "a", "x"), (4, None, None)], "o long, a string, b string")
+    assert sorted(r["o"] for r in greedy.first_by_keys(null, "o", [F.col("a"), F.col("b")]).where("accepted").collect()) == [1, 2, 4]
 
 
 GATE = "id string, name string, description string, body string"
@@ -151,8 +148,8 @@ def test_gates(spark):
     got = gates.run_gates(spark.createDataFrame(rows, GATE), none, vectors=vecs)
     assert {r["id"]: r["reason"] for r in got.collect()} == {"s__i": "inject:tag-block", "s__t": "density:prose<200", "s__g": None, "s__f": None, "s__h": "dup-of:s__g"}
     assert tuple(gates.gate_stats(got).first()) == (5, 1, 1, 1, 2, 1)
-    report = gates.render_report(got)
-    assert "| s | 2 | 3 |" in report and "- `s__f`" in report
+    report = gates.render_report(got, {"density_floor": 200})
+    assert "| density_floor | 200 |" in report and "| s | 5 | 2 | 3 | 0.4 |" in report and "| s__f |" in report
     embedded = gates.run_gates(spark.createDataFrame(rows, GATE), none, embed_function=lambda texts: [[1.0, 0.0] for _ in texts])
     assert {r["id"] for r in embedded.where("reason LIKE 'dup-of:%'").collect()} == {"s__g", "s__h"}
 
