@@ -75,7 +75,7 @@ def built_index(spark: SparkSession, sf_dir: str) -> Index:
     return build_index(_plain(spark, sf_dir), dedup=False, sanitize=False)
 
 
-def _index(spark: SparkSession, sf_dir: str) -> Index:
+def stored_index(spark: SparkSession, sf_dir: str) -> Index:
     """The same from its files, which the first query of a session over a folder writes."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES or not exists(spark, f"{_INDEXES[key]}/stats"):
@@ -109,7 +109,7 @@ def _one_query_sql(text: str, k: int) -> str:
 
 
 def _hits(spark: SparkSession, sf_dir: str, text: str, k: int) -> DataFrame:
-    return search.search(text, _index(spark, sf_dir), k).select("rank", F.col("id").alias("doc_id"), "score")
+    return search.search(text, stored_index(spark, sf_dir), k).select("rank", F.col("id").alias("doc_id"), "score")
 
 
 @_query(_one_query_sql("the and the", 5))
@@ -130,7 +130,7 @@ def bm25_no_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_TOKENS}, asked AS (SELECT item_id AS query_id, text FROM benchmark), {_SCORES} SELECT query_id, CAST(rank AS INTEGER) AS rank, id AS doc_id, round(score, 3) AS score FROM ranked WHERE rank <= 5")
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.search_all(asked, _index(spark, sf_dir), 5).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+    return search.search_all(asked, stored_index(spark, sf_dir), 5).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
 @_query(
@@ -138,7 +138,7 @@ def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_stale_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are gone are no hits but still count in the document frequency."""
-    index = _index(spark, sf_dir)
+    index = stored_index(spark, sf_dir)
     stale = Index(index.postings, index.docs.where(F.col("id") % 3 != 0), index.terms, index.stats)
     return search.search("the for", stale, 10).select("rank", F.col("id").alias("doc_id"), "score")
 
@@ -160,13 +160,13 @@ def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_TOKENS} SELECT token, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM terms CROSS JOIN stats")
 def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)
+    index = stored_index(spark, sf_dir)
     return index.terms.crossJoin(F.broadcast(index.stats)).select("token", F.round(idf(F.col("n"), F.col("df")), 6).alias("idf"))  # one row is broadcast
 
 
 @_query(f"WITH {_TOKENS} SELECT n, round(avgdl, 6) AS avgdl FROM stats")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+    return stored_index(spark, sf_dir).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @_query("""
