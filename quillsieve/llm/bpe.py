@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -22,13 +22,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-#: A worker remembers the encodings of one to two times so many different pieces.
-CACHE_PIECES = 150_000
+#: A worker remembers encodings of pieces in two generations, each of so many bytes at most (as `_Known` estimates them).
+CACHE_BYTES = 16 << 20
 #: Longer pieces are encoded each time.
 CACHE_CHARS = 64
+#: Pairs of tokens whose fit a worker remembers: about 130 bytes each.
+PAIRS_MOST = 400_000
+#: Longer texts are split match by match, so that no list of all their pieces is held.
+LONG_CHARS = 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,7 +45,9 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
         self.pairs: dict[int, bool] = {}
         self._parts: dict[int, tuple[int, int] | None] = {}
         self.longest = max(map(len, ranks), default=1)
@@ -72,7 +78,7 @@ class Vocabulary:
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= PAIRS_MOST:
                 self.pairs.clear()
             known = self.pairs[key] = self._stays(left, right)
         return known
@@ -102,16 +108,18 @@ def extend(vocabulary: Vocabulary, data: str, last: list[int], offset: int = 0)
     `last[0]` stands for the empty prefix. `data` starts at byte `offset`, so far
     back that every token ending in a new byte begins in it.
     """
-    pairs, fits = vocabulary.pairs.get, vocabulary.compatible
-    done = len(last) - 1 - offset
+    pairs, fits, add = vocabulary.pairs.get, vocabulary.compatible, last.append
+    done, moved = len(last) - 1 - offset, 1 + offset
     for at, (size, token) in vocabulary.matcher.iter(data):
         if at == done:
-            before = last[at + 1 - size + offset]
+            before = last[at - size + moved]
             if before >= 0:
                 known = pairs(before << 32 | token)
-                if not (fits(before, token) if known is None else known):
+                if known is None:
+                    known = fits(before, token)
+                if not known:
                     continue
-            last.append(token)
+            add(token)
             done += 1
     if done != len(data):
         raise ValueError(f"no token of the vocabulary ends at byte {done + offset}")
@@ -152,126 +160,134 @@ class PrefixEncoder:
 
 
 class _Known(dict):
-    """Piece to ids (int32 as bytes): two generations, the older one dropped when the newer is full."""
+    """Piece to ids (int32 as bytes): two generations, the older one dropped when the newer is full.
+
+    Pieces that are a token stay whole, and stay here.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.older = vocabulary, {}
-        self.sizes = {rank: len(token) for token, rank in vocabulary.ranks.items()}
+        self.vocabulary, self.whole, self.older, self.held = vocabulary, {}, {}, 0
+        self.sizes = [len(token) for token in vocabulary.tokens]
 
     def __missing__(self, piece: str) -> bytes:
         out = self.older.get(piece)
         if out is None:
             data = piece.encode()
-            whole = self.vocabulary.ranks.get(data)  # a piece that is a token stays whole
-            if whole is not None:
-                ids = [whole]
-            else:
-                last, ids, at, sizes = [-1], [], len(data), self.sizes
-                extend(self.vocabulary, data.decode("latin-1"), last)
-                while at:
-                    ids.append(last[at])
-                    at -= sizes[last[at]]
-                ids.reverse()
+            token = self.vocabulary.ranks.get(data)
+            if token is not None:
+                out = self[piece] = self.whole[piece] = struct.pack("i", token)
+                return out
+            last, ids, at, sizes = [-1], [], len(data), self.sizes
+            extend(self.vocabulary, data.decode("latin-1"), last)
+            while at:
+                ids.append(last[at])
+                at -= sizes[last[at]]
+            ids.reverse()
             out = struct.pack(f"{len(ids)}i", *ids)
         if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.older = dict(self)
+            # two objects' heads and a place in the table, besides their contents
+            self.held += 180 + 2 * len(piece) + len(out)
+            if self.held >= CACHE_BYTES:
+                self.older, self.held = dict(self), 0
                 self.clear()
+                self.update(self.whole)
             self[piece] = out
         return out
 
 
-class Decoder:
-    """Ids to bytes, with nothing in memory but the tokens one after the other."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        self._sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-        self._starts = np.cumsum(self._sizes) - self._sizes
-        self._bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        out = []
-        for i in range(0, len(ids), 1 << 16):
-            part = ids[i : i + (1 << 16)]
-            sizes = self._sizes[part]
-            ends = np.cumsum(sizes)
-            out.append(self._bytes[np.repeat(self._starts[part] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes())
-        return b"".join(out)
-
-
-class Codec(Decoder):
+class Codec:
     """Splits text by the pattern and encodes each match on its own."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
-        super().__init__(ranks)
         self.vocabulary = Vocabulary(ranks)
-        self.split = regex.compile(pattern).findall
+        self._pattern = regex.compile(pattern)
         self._known = _Known(self.vocabulary)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self._known.__getitem__, self.split(text))), dtype=np.int32)
-
+        known = self._known.__getitem__
+        if len(text) <= LONG_CHARS:
+            found = b"".join(map(known, self._pattern.findall(text)))
+        else:
+            found = bytearray()
+            for match in self._pattern.finditer(text):
+                found += known(match[0])
+        return np.frombuffer(found, dtype=np.int32)
 
-@lru_cache(maxsize=2)
-def decoder(path: str) -> Decoder:
-    """One decoder a worker process: it needs no vocabulary to search."""
-    return Decoder(load_ranks(path))
+    def decode(self, ids: np.ndarray) -> bytes:
+        token = self.vocabulary.tokens.__getitem__
+        return b"".join(b"".join(map(token, ids[i : i + (1 << 16)].tolist())) for i in range(0, len(ids), 1 << 16))
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+@lru_cache(maxsize=1)
+def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
     """One codec a worker process, whatever the number of its tasks."""
     return Codec(load_ranks(path), pattern)
 
 
-def _free_names(df: DataFrame, *names: str) -> None:
-    if taken := set(names) & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns {sorted(taken)} exist already; choose other output names")
+def _free_names(taken: Iterable[str], *names: str) -> None:
+    if used := {n.lower() for n in names} & {c.lower() for c in taken}:
+        raise ValueError(f"columns {sorted(used)} exist already; choose other output names")
+
+
+def _fields(df: DataFrame) -> list[str]:
+    return [f"`{c}` {t}" for c, t in df.dtypes]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32()))
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), pattern: str = public_tokenizers.PATTERN, data: str | None = None, exact: str | None = None) -> DataFrame:
     """`keep` columns and `ids` (array of int), a row for each row of `docs`.
 
+    Where `data` is named, that column has the bytes that the ids decode to; where
+    `exact` is named, that one says whether they are the text again. Both come from
+    the worker that has just encoded the text, so ids aren't moved to be decoded.
+
     Null and empty texts give an empty array. No row is dropped or merged, so
     repeated rows stay repeated; other columns are ignored.
     """
+    added = [(ids, "array<int>"), *([(data, "binary")] if data else []), *([(exact, "boolean")] if exact else [])]
+    _free_names(keep, *(n for n, _ in added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in slices(batches, 128):
-            rows = [own.encode(x or "") for x in batch.column(text).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            flat = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[*keep, ids])
-
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{fields}, `{ids}` array<int>")
+        for batch in slices(batches, 64):
+            texts = [x or "" for x in batch.column(text).to_pylist()]
+            rows = [own.encode(x) for x in texts]
+            columns = [*(batch.column(c) for c in keep), _lists(rows)]
+            if data or exact:
+                back = [own.decode(r) for r in rows]
+                if data:
+                    columns.append(pa.array(back, pa.binary()))
+                if exact:
+                    columns.append(pa.array([b == x.encode() for b, x in zip(back, texts, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(n for n, _ in added)])
+
+    ddl = ", ".join([*_fields(docs.select(*keep)), *(f"`{n}` {t}" for n, t in added)])
+    return docs.select(*dict.fromkeys([*keep, text])).transform(map_arrow, run, ddl)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "data") -> DataFrame:
     """`df` and `data` (binary), the bytes that `ids` stand for; null and empty ids give no bytes."""
-    _free_names(df, data)
+    _free_names(df.columns, data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = decoder(path)
-        for batch in slices(batches, 128):
+        own = codec(path)
+        for batch in slices(batches, 64):
             lists = batch.column(ids)
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             rows = [own.decode(flat[a:b]) if ok else b"" for a, b, ok in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, data])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.mapInArrow(run, f"{fields}, `{data}` binary")
+    return df.transform(map_arrow, run, ", ".join([*_fields(df), f"`{data}` binary"]))
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text."""
-    path = path or public_tokenizers.path(RANK_FILE)
-    both = decode(encode(docs, path), path)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, from the ids and the bytes that they decode to."""
+    both = encode(docs, path or public_tokenizers.path(RANK_FILE), data="data")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
