@@ -12,11 +12,14 @@ for it in the other cells. No document is sampled twice.
 
 from __future__ import annotations
 
+import math
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_PATTERN, by_size, materialize
+from .common import WORD_PATTERN, by_size, few, materialize
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Default targets are the shares of tokens raised to these powers and scaled to 1.
@@ -27,6 +30,8 @@ ROUNDS_PER_PLAN = 5
 TOLERANCE = 1e-9
 #: Most cells for which a margin's sums are taken by window.
 WINDOW_MOST = 1_000_000
+#: Most cells that one task takes them all of.
+ONE_TASK_CELLS = 100_000
 #: Values out of reach are scaled up in every round; this keeps them finite.
 _RAW_MOST = 1e100
 SEED = "mix-1"
@@ -80,7 +85,8 @@ def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance:
 
     Up to `window_most` cells, rounds are window sums chained in one plan; with
     more, a margin's sums are aggregated and joined, so that no task gets all
-    cells of a value.
+    cells of a value. If margins are off by more than `tolerance` in the end, a warning
+    says by how much.
 
     With `sample_share`, no weight is above the cell's share of the tokens over
     `sample_share`; targets that this leaves out of reach are met as far as it goes.
@@ -108,8 +114,9 @@ def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance:
         sizes[name] = margins[name].count()
         current = current.join(by_size(margins[name], sizes[name], 64), name)
     columns = current.columns
-    current = materialize(current, "cells")
-    done = 0
+    # Few cells stay in one partition, where no window needs a shuffle.
+    current = few(materialize(current, "cells"), total, ONE_TASK_CELLS)
+    done, off = 0, math.inf
     while done < rounds:
         for _ in range(min(ROUNDS_PER_PLAN, rounds - done)):
             for name in DIMENSIONS:
@@ -121,13 +128,15 @@ def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance:
                     current = current.join(by_size(sums, sizes[name], 64), name).withColumn(raw, F.least(F.col(raw) * F.col(f"{name}_share") / F.col("held"), F.lit(_RAW_MOST)))
                     current = materialize(current.select(*columns), "cells")
             done += 1
-        current = materialize(current, "cells")
+        current = few(materialize(current, "cells"), total, ONE_TASK_CELLS)
         off = 0.0
         for name in DIMENSIONS:
             worst = current.groupBy(name).agg((held_of / F.max(f"{name}_share") - 1).alias("off")).agg(F.max(F.abs("off"))).first()[0]
             off = max(off, worst or 0.0)
         if off <= tolerance:
             break
+    if off > tolerance and not bounded:
+        warnings.warn(f"raking stopped after {done} rounds with margins off by up to {off:.2g} of their targets", RuntimeWarning, stacklevel=2)
     return current.select(*DIMENSIONS, "tokens", (F.least("raw", most) if bounded else F.col("weight")).alias("weight"))
 
 
