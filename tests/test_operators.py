@@ -108,6 +108,18 @@ def test_cosine_dedup(spark, rows, want, block):
     assert {r["id"]: r["kept_id"] for r in got} == want
 
 
+def test_far_blocks_don_t_meet_and_no_pair_is_lost(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.standard_normal((12, 16))
+    x = (centers[rng.integers(0, 12, 300)] + 0.3 * rng.standard_normal((300, 16))).tolist()
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "visit long, vector array<double>")
+    u = np.array(x) / np.linalg.norm(x, axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T > 0.9)) if i < j}
+    got = {(r["earlier"], r["later"]) for r in vectors.cosine_pairs(table, 0.9, 10).collect()}
+    assert got == want and want
+    assert vectors.cosine_pairs(table.limit(0), 0.9).count() == 0
+
+
 def test_greedy_rounds_equal_a_scan(spark):
     rng = np.random.default_rng(3)
     edges = {tuple(sorted(map(int, rng.integers(0, 60, 2)))) for _ in range(150)} | {(i, i + 1) for i in range(60, 75)}
