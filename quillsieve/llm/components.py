@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, few, materialize
+
+#: Up to so many edges, a round is run by one task: its joins need no shuffle then.
+ONE_TASK_EDGES = 200_000
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -46,5 +49,14 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         if mark == seen or not mark[0]:
             break
         seen = mark
-        current = materialize(_star(current), "edges")
+        hung = materialize(_star(few(current, mark[0], ONE_TASK_EDGES)), "edges")
+        discard(current)
+        current = hung
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def first_rows(rows: DataFrame) -> DataFrame:
+    """(doc_id, key, rows) of each component's row to keep, from (doc_id, key, root, component_id)."""
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("root", "doc_id", "key").agg(F.count("*").alias("rows"))
+    return first.groupBy("root").agg(F.min(F.struct("doc_id", "key", "rows")).alias("k")).select("k.*")

@@ -1,10 +1,9 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Fingerprints link when they differ in at most `distance` bits. For any pivot p,
-|d(x, p) - d(y, p)| <= d(x, y), so a pair whose distances to some pivot differ by
-more can be discarded without looking at it. A table of the distances to many
-pivots is computed once per fingerprint; pairs that every coordinate lets pass
-are verified bit by bit.
+Fingerprints link when they differ in at most `distance` bits. The distances to
+many pivots are computed once per different fingerprint and stay with it (see
+`pivot`): most pairs are discarded by their largest coordinate difference, and
+the rest is verified bit by bit.
 
 To find pairs on many machines, fingerprints meet in cells. The bits are cut
 into distance + 2 blocks; a linked pair agrees on two blocks at least, so it
@@ -13,6 +12,9 @@ by the same rule over the bits that its members need not share, again and
 again, until it is small; when few bits are left its size is bounded by their
 number. Within a cell the search grows components, so copies of one text are
 not compared with each other again once they are connected.
+
+With `similarity`, texts link by the exact similarity of their shingle sets
+instead; see `shingles`.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_size, materialize, slices
-from .components import components
+from .common import as_bytes, join_dealt, map_arrow, materialize, slices
+from .components import components, first_rows
+from .pivot import PIVOTS, PivotTable, as_column, distances, from_column, pivots
+from .shingles import similar
 
 SHINGLE_WORDS = 4
 DISTANCE = 4
-PIVOTS = 48
 CELL_MOST = 4096
 _SEED = 42
 #: Shingles hashed at a time, to bound memory on very long texts.
@@ -67,34 +70,12 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             keys, prints = (np.array([f(t) for t in texts], dtype=np.uint64).view(np.int64) for f in (lambda t: xxhash.xxh64_intdigest(t, _SEED), lambda t: fingerprint(t, words)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(prints)], names=["doc_id", "key", "print"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, print long")
-
-
-def pivots(count: int = PIVOTS, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 64, count, dtype=np.uint64)
-
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, run, "doc_id long, key long, print long")
 
-class PivotTable:
-    """Distances of fingerprints to the pivots, and the search over them."""
 
-    def __init__(self, prints: np.ndarray, references: np.ndarray):
-        self.prints = prints
-        self.table = np.bitwise_count(prints[:, None] ^ references[None, :]).astype(np.int8)
-
-    def linked(self, at: int, others: np.ndarray, distance: int) -> np.ndarray:
-        """Those of `others` within `distance` of print `at`."""
-        for start in range(0, self.table.shape[1], 8):
-            if not len(others):
-                return others
-            apart = np.abs(self.table[others, start : start + 8] - self.table[at, start : start + 8]).max(axis=1)
-            others = others[apart <= distance]
-        return others[np.bitwise_count(self.prints[others] ^ self.prints[at]) <= distance]
-
-
-def cell_edges(prints: np.ndarray, distance: int = DISTANCE, references: np.ndarray | None = None) -> list[tuple[int, int]]:
+def cell_edges(table: PivotTable, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """Edges (position, position) that connect the components of one cell: a spanning forest."""
-    table = PivotTable(prints, pivots() if references is None else references)
-    open_, edges = np.arange(len(prints)), []
+    open_, edges = np.arange(len(table.prints)), []
     while len(open_) > 1:
         queue, open_ = [int(open_[0])], open_[1:]
         while queue and len(open_):
@@ -119,22 +100,34 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def with_pivots(prints: DataFrame) -> DataFrame:
+    """(print, far): each print with its distances to the pivots, a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        references = pivots()
+        for batch in slices(batches, 1 << 14):
+            own = batch.column("print").to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("print"), as_column(distances(own, references))], names=["print", "far"])
+
+    return prints.select("print").transform(map_arrow, run, "print long, far binary")
+
+
 def _cells(rows: DataFrame, distance: int) -> DataFrame:
-    """(fixed, cell, print) one level down: `fixed` has the bits a cell's members share."""
-    ddl = "fixed long, cell long, print long"
+    """(fixed, cell, print, far) one level down: `fixed` has the bits a cell's members share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, list[int]] = {}
         for batch in slices(batches, 1 << 14):
             fixed = batch.column("fixed").to_numpy().view(np.uint64)
-            prints = batch.column("print").to_numpy().view(np.uint64)
             for mask in np.unique(fixed).tolist():
-                own = prints[fixed == mask]
+                part = batch.filter(pa.array(fixed == mask))
+                own = part.column("print").to_numpy().view(np.uint64)
                 for more in known.setdefault(mask, _masks(distance, ~mask & (1 << 64) - 1)):
                     both = np.uint64(mask | more)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), both).view(np.int64)), pa.array((own & both).view(np.int64)), pa.array(own.view(np.int64))], names=["fixed", "cell", "print"])
+                    columns = [pa.array(np.full(len(own), both).view(np.int64)), pa.array((own & both).view(np.int64)), part.column("print"), part.column("far")]
+                    yield pa.RecordBatch.from_arrays(columns, names=["fixed", "cell", "print", "far"])
 
-    return rows.select("fixed", "print").mapInArrow(run, ddl)
+    return rows.select("fixed", "print", "far").transform(map_arrow, run, "fixed long, cell long, print long, far binary")
 
 
 def links(prints: DataFrame, distance: int = DISTANCE, most: int = CELL_MOST) -> DataFrame:
@@ -142,40 +135,41 @@ def links(prints: DataFrame, distance: int = DISTANCE, most: int = CELL_MOST) ->
 
     `prints` has a column `print` without repeats.
     """
-    references = pivots()
 
     def joined(key: tuple, batch: pa.Table) -> pa.Table:
-        own = np.sort(batch["print"].to_numpy().view(np.uint64))
-        edges = cell_edges(own, distance, references)
+        own = batch["print"].to_numpy().view(np.uint64)
+        order = np.argsort(own)
+        own = own[order]
+        edges = cell_edges(PivotTable(own, from_column(batch["far"], PIVOTS)[order]), distance)
         ends = [own[[e[i] for e in edges]] if edges else np.empty(0, np.uint64) for i in (0, 1)]
         return pa.table({"a": ends[0].view(np.int64), "b": ends[1].view(np.int64)})
 
-    level, found = prints.select(F.lit(0).cast("long").alias("fixed"), "print"), None
+    level, found = with_pivots(prints).select(F.lit(0).cast("long").alias("fixed"), "print", "far"), None
     while True:
         cells = materialize(_cells(level, distance), "cells")
         sizes = cells.groupBy("fixed", "cell").agg(F.count("*").alias("n")).where("n > 1")
         last_bits = 64 - F.bit_count("fixed") <= 12  # at most 2**12 different prints
         sizes = materialize(sizes.withColumn("small", (F.col("n") <= most) | last_bits), "cell-sizes")
-        total, large = sizes.agg(F.count("*"), F.coalesce(F.sum((~F.col("small")).cast("long")), F.lit(0))).first()
+        large = sizes.where("not small").limit(1).count()
         # Cells of one print are dropped before anything is grouped.
-        shared = cells.join(by_size(sizes, total, 48), ["fixed", "cell"])
+        shared = join_dealt(cells, sizes, ["fixed", "cell"], 48)
         edges = shared.where("small").groupBy("fixed", "cell").applyInArrow(joined, "a long, b long")
         found = edges if found is None else found.unionByName(edges)
         if not large:
             return found
-        level = materialize(shared.where("not small").select("fixed", "print").distinct(), "large-cells")
+        level = materialize(shared.where("not small").select("fixed", "print", "far").distinct(), "large-cells")
 
 
 def classed(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, key, print, root, component_id), a row for each row of `docs`; root is a print that names the component."""
     rows = materialize(fingerprints(docs, words), "simhash")
-    classes = materialize(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
+    classes = materialize(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     roots = components(links(classes.select("print"), distance))
     # the component's smallest doc_id: over classes that hang on a root, and the rest by themselves
-    merged = classes.join(roots, classes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    merged = classes.join(roots, classes["print"] == roots["node"], "left").select("print", "least", "n", F.coalesce("root", "print").alias("root"))
     least = merged.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(merged.join(least, "root").select("print", "root", "component_id"), "named")
-    return rows.join(by_size(named, named.count(), 40), "print").select("doc_id", "key", "print", "root", "component_id")
+    named = materialize(merged.join(least, "root").select("print", "n", "root", "component_id"), "named")
+    return join_dealt(rows, named, ["print"], 48).select("doc_id", "key", "print", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -191,20 +185,14 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = SHIN
     return classed(docs, distance, words).select("doc_id", hex_of(F.col("print")).alias("fingerprint"), "component_id")
 
 
-def keepers(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE_WORDS) -> DataFrame:
+def keepers(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE_WORDS, similarity: tuple[int, int] | None = None) -> DataFrame:
     """(doc_id, key, rows): of each component the row to keep, with how many rows of `docs` are like it.
 
     That is the row with the smallest doc_id; of several texts under that id, the
-    one with the smallest key.
+    one with the smallest key. With `similarity` (a fraction), texts whose sets of
+    shingles have that Jaccard similarity or more are linked, whatever `distance`.
     """
-    return first_rows(classed(docs, distance, words))
-
-
-def first_rows(rows: DataFrame) -> DataFrame:
-    """(doc_id, key, rows) of each component's row to keep, from (doc_id, key, root, component_id)."""
-    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.groupBy("root", "doc_id", "key").agg(F.count("*").alias("rows"))
-    return first.groupBy("root").agg(F.min(F.struct("doc_id", "key", "rows")).alias("k")).select("k.*")
+    return first_rows(classed(docs, distance, words) if similarity is None else similar(docs, words, similarity))
 
 
 def hex_of(column: Column) -> Column:
