@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, map_arrow
 
 #: (host, path, action): fixed values of the task.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: So many keys are looked at to choose the ranges' borders; borders only balance the work.
-BORDER_SAMPLE = 20_000
+BORDER_SAMPLE, BORDER_CHARS = 20_000, 128
 ROWS_PER_RANGE = 20_000
 
 
@@ -109,7 +109,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_column: str = "page_id",
     fit = F.col("action").isin("block", "allow") & (F.col("host") != "") & F.col("path").isNotNull()
     rules = rules.select(lower_ascii(F.col("host")).alias("host"), "path", "action").where(fit).distinct().withColumn("key", key_of(F.col("host")))
 
-    picked = [r[0] for r in urls.select("sort_key", F.xxhash64("sort_key").alias("h")).orderBy("h", "sort_key").limit(BORDER_SAMPLE).select("sort_key").collect()]
+    # Any string will do as a border, so long keys are cut.
+    keys = urls.select(F.substring("sort_key", 1, BORDER_CHARS).alias("sort_key"), F.xxhash64("sort_key").alias("h"))
+    picked = [r[0] for r in keys.orderBy("h", "sort_key").limit(BORDER_SAMPLE).select("sort_key").collect()]
     ranges = max(1, min(urls.count() // rows_per_range + 1, 4096, len(picked)))
     picked.sort(key=lambda s: s.encode())
     borders = [picked[len(picked) * i // ranges].encode() for i in range(1, ranges)]
@@ -129,10 +131,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_column: str = "page_id",
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.string()] * 4], strict=True)], names=["at", "key", "host", "path", "action"])
 
-    left = urls.mapInArrow(placed, "at int, key string, sort_key string, id long, host string, path string").select("at", "key", "sort_key", F.lit(True).alias("is_url"), "id", "host", "path", F.lit(None).cast("string").alias("action"))
-    right = rules.mapInArrow(spread, "at int, key string, host string, path string, action string").select("at", "key", F.col("key").alias("sort_key"), F.lit(False).alias("is_url"), F.lit(None).cast("long").alias("id"), "host", "path", "action")
-    events = left.unionByName(right).repartitionByRange(ranges, "at").sortWithinPartitions("at", "sort_key", "is_url")
-    out = events.select("at", "key", "is_url", "id", "host", "path", "action").mapInArrow(_sweep(default), "id long, host string, path string, rule string, verdict string")
+    left = urls.transform(map_arrow, placed, "at int, key string, sort_key string, id long, host string, path string").select("at", "key", "sort_key", F.lit(True).alias("is_url"), "id", "host", "path", F.lit(None).cast("string").alias("action"))
+    right = rules.transform(map_arrow, spread, "at int, key string, host string, path string, action string").select("at", "key", F.col("key").alias("sort_key"), F.lit(False).alias("is_url"), F.lit(None).cast("long").alias("id"), "host", "path", "action")
+    events = left.unionByName(right).repartitionById(ranges, F.col("at")).sortWithinPartitions("at", "sort_key", "is_url")
+    out = events.select("at", "key", "is_url", "id", "host", "path", "action").transform(map_arrow, _sweep(default), "id long, host string, path string, rule string, verdict string")
     return out.withColumnRenamed("id", id_column)
 
 
