@@ -1,11 +1,12 @@
 """Quality by compression: zstandard dictionaries of good and of bad labelled text.
 
 A text is cut into blocks. Each block is compressed with both dictionaries;
-text like the good examples gets shorter with the good dictionary. The
-difference of both sizes over the larger one, with the sizes per byte, the
-block that speaks most for bad text and the text's compressed size without a
-dictionary, is calibrated to a probability by logistic regression on labelled
-texts that took no part in the dictionaries.
+text like the good examples gets shorter with the good dictionary. The score
+comes from the difference of both sizes over the larger one, over the whole text
+and in the block that speaks most for bad text. It is calibrated to a
+probability by logistic regression on labelled texts that took no part in the
+dictionaries; the calibration also knows what may shift the difference: how
+short the text is, and how well it compresses without a dictionary.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, map_arrow, slices
 
 #: Labelled texts of each class that are fitted on, at most: half for the dictionaries, half for calibration.
 FIT_PER_CLASS = 2000
-#: Longer texts are scored like any other but not fitted on.
-FIT_MAX_BYTES = 1 << 18
+#: Longer texts are scored like any other but not fitted on; so the driver gets 125 MiB of them at most.
+FIT_MAX_BYTES = 1 << 15
 BLOCK = 512
 DICTIONARY_BYTES = 112_640
 LEVEL = 1
@@ -54,7 +55,7 @@ class Model:
 
 @lru_cache(maxsize=2)
 def _measure(good: bytes, bad: bytes):
-    """Text to (difference, good and bad size per byte, plain size per byte, worst block, length term)."""
+    """Text to (difference, that of the worst block, plain size per byte, length term)."""
     sizes = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d)).compress for d in (good, bad)]
     plain = zstandard.ZstdCompressor(level=LEVEL).compress
 
@@ -68,7 +69,7 @@ def _measure(good: bytes, bad: bytes):
             if 2 * len(part) > BLOCK or len(text) < BLOCK:
                 worst = min(worst, (v - u) / max(u, v))
         n = max(1, len(text))
-        return (b - a) / max(a, b), a / n, b / n, len(plain(text)) / n, worst, n**-0.5
+        return (b - a) / max(a, b), worst, len(plain(text)) / n, n**-0.5
 
     return measure
 
@@ -155,7 +156,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), na
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, name])
 
     ddl = ", ".join(f"`{c}` {t}" for c, t in fields)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{ddl}, `{name}` double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).transform(map_arrow, run, f"{ddl}, `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = FIT_PER_CLASS) -> DataFrame:
