@@ -17,25 +17,85 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, slices
+from .common import as_bytes, map_arrow, slices
 
 #: Phrases that name a license, and its label: fixed values of the task.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Opening sentences of notices, and the label each stands for.
-TEMPLATES = {
-    "mit-grant": ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    "mit-notice": ("mit", "released under the terms of the mit license"),
-    "apache-notice": ("apache", "licensed under the apache license version 2 0"),
-    "apache-terms": ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    "gpl-notice": ("gpl", "this work is licensed under the gnu general public license version 3"),
-    "gpl-terms": ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    "bsd-terms": ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    "cc-by-notice": ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    "cc-by-nc-notice": ("cc-by-nc", "licensed under cc by nc 4 0"),
-    "mpl-notice": ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-}
+#: (name, label, text): public license texts and the notices that their publishers ask for, several a license. Fixed values.
+LICENSE_TEXTS = (
+    ("mit-grant", "mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "mit-text",
+        "mit",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without'
+        " restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom"
+        " the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions"
+        ' of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A'
+        " PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR"
+        " OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    ("mit-notice", "mit", "released under the terms of the MIT license"),
+    ("apache-notice", "apache", "licensed under the Apache License, Version 2.0"),
+    ("apache-terms", "apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    (
+        "apache-boilerplate",
+        "apache",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+        " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an"
+        ' "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ),
+    ("gpl-notice", "gpl", "this work is licensed under the GNU General Public License version 3"),
+    ("gpl-terms", "gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    (
+        "gpl-header",
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3"
+        " of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of"
+        " MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with"
+        " this program. If not, see",
+    ),
+    ("bsd-terms", "bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "bsd-text",
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must"
+        " retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of"
+        " conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+        ' "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT'
+        " SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF"
+        " SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT"
+        " (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "isc-text",
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission"
+        ' notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY'
+        " AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,"
+        " WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    ("cc-by-notice", "cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa-notice", "cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc-notice", "cc-by-nc", "licensed under CC BY-NC 4.0"),
+    ("mpl-notice", "mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    (
+        "mpl-header",
+        "mpl",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"
+        " https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "unlicense-text",
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code"
+        " form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+)
+#: Name to (label, text).
+TEMPLATES = {name: (label, text) for name, label, text in LICENSE_TEXTS}
 THRESHOLD = 0.8
-#: A line is one block; a longer one, and the whole text across its lines, is cut into blocks of this many words that overlap by half.
+#: A line is one block; a longer one, and the whole text across its lines, is cut into blocks that overlap by half. They
+#: have at least so many words; for longer templates, the power of two that a template fits into twice.
 BLOCK_WORDS = 128
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -85,10 +145,19 @@ class ContainmentIndex:
         return out
 
 
-def _blocks(line: list[bytes], block_words: int) -> Iterator[tuple[int, list[bytes]]]:
-    step = max(1, block_words // 2)
-    for start in range(0, max(1, len(line) - step), step):
-        yield start, line[start : start + block_words]
+def indexes(templates: dict[str, tuple[str, str]], frequency: dict[bytes, int], threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> dict[int, ContainmentIndex]:
+    """Words of a block to the index of the templates that are looked for in blocks of that size."""
+    by_size: dict[int, dict[str, tuple[str, str]]] = {}
+    for name, (label, text) in templates.items():
+        size = max(block_words, 1 << (2 * len(words_of(text.encode())) - 1).bit_length())
+        by_size.setdefault(size, {})[name] = label, text
+    return {size: ContainmentIndex(own, frequency, threshold) for size, own in sorted(by_size.items())}
+
+
+def _blocks(words: list[bytes], size: int) -> Iterator[tuple[int, list[bytes]]]:
+    step = max(1, size // 2)
+    for start in range(0, max(1, len(words) - step), step):
+        yield start, words[start : start + size]
 
 
 def frequencies(docs: DataFrame, templates: dict[str, tuple[str, str]]) -> dict[bytes, int]:
@@ -105,7 +174,7 @@ def frequencies(docs: DataFrame, templates: dict[str, tuple[str, str]]) -> dict[
                 counts.update(vocabulary.intersection(words_of(data)))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").sum("n").collect()
+    rows = docs.select("text").transform(map_arrow, run, "word binary, n long").groupBy("word").sum("n").collect()
     return {bytes(w): n for w, n in rows}
 
 
@@ -114,29 +183,40 @@ _FIELDS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base",
 _DDL = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<template: string, label: string, first_word: long, n_words: long, containment: double>>"
 
 
-def scan_text(data: bytes, index: ContainmentIndex, phrases: dict[bytes, str], block_words: int = BLOCK_WORDS) -> tuple:
-    """The result columns of one text, without doc_id."""
-    words = words_of(data)
-    places, base = [], set()
+def phrase_places(words: list[bytes], phrases: dict[bytes, str]) -> tuple[list[int], set[str]]:
+    """Where phrases start, counted in words, and their labels. Each word is counted once for each phrase."""
+    places, labels = [], set()
     joined = b" " + b" ".join(words) + b" "
     for phrase, label in phrases.items():
-        at = joined.find(phrase)
+        at, last, word = joined.find(phrase), 0, 0
         while at >= 0:
-            places.append(joined.count(b" ", 0, at))
-            base.add(label)
+            word, last = word + joined.count(b" ", last, at), at
+            places.append(word)
+            labels.add(label)
             at = joined.find(phrase, at + 1)
-    blocks, labels = [], set(base)
-    if not index.prefix_words.isdisjoint(words):
-        lines, before = [], 0
-        for line in data.split(b"\n"):
-            own = words_of(line)
-            if own:
-                lines.append((before, own))
-            before += len(own)
+    return places, labels
+
+
+def scan_text(data: bytes, by_size: dict[int, ContainmentIndex], phrases: dict[bytes, str]) -> tuple:
+    """The result columns of one text, without doc_id."""
+    words = words_of(data)
+    places, base = phrase_places(words, phrases)
+    blocks, labels, lines = [], set(base), None
+    present = set(words)
+    for size, index in by_size.items():
+        if index.prefix_words.isdisjoint(present):
+            continue
+        if lines is None:
+            lines, before = [], 0
+            for line in data.split(b"\n"):
+                own = words_of(line)
+                if own:
+                    lines.append((before, own))
+                before += len(own)
         # Notices are wrapped: the words of all lines are one more stream of blocks.
         met = set()
         for first, own in [*lines, (0, words)] if len(lines) > 1 else lines:
-            for start, block in _blocks(own, block_words):
+            for start, block in _blocks(own, size):
                 if index.prefix_words.isdisjoint(block) or (first + start, len(block)) in met:
                     continue
                 met.add((first + start, len(block)))
@@ -156,17 +236,17 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, str]] | None =
     The score is 1 with a phrase, else the best containment found, else 0. Null
     texts count as empty: no words, no labels, score 0. Repeated rows give
     repeated rows; other columns are ignored; an empty table gives no rows.
-    A template of n words is found whole wherever n <= block_words / 2, however it is wrapped.
+    A template is found whole however it is wrapped: it fits into half a block of its size.
     """
     templates = TEMPLATES if templates is None else templates
     keyed = {f" {p} ".encode(): label for p, label in (PHRASES if phrases is None else phrases).items()}
-    index = ContainmentIndex(templates, frequencies(docs, templates), threshold)
+    by_size = indexes(templates, frequencies(docs, templates), threshold, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
-            rows = [scan_text(data, index, keyed, block_words) for data in as_bytes(batch, "text")]
+            rows = [scan_text(data, by_size, keyed) for data in as_bytes(batch, "text")]
             columns = zip(*rows, strict=True) if rows else [[]] * 8
             ids = batch.column(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(columns, list(_FIELDS)[1:], strict=True))], schema=_FIELDS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _DDL)
+    return docs.select("doc_id", "text").transform(map_arrow, run, _DDL)
