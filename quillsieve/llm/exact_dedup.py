@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_size, materialize, slices
+from .common import as_bytes, by_size, join_dealt, map_arrow, materialize, slices
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 1_664_525_013)
@@ -120,9 +120,9 @@ def fingerprints(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bases: tuple[i
 
     `copies` counts the rows that repeat both. Null texts count as empty.
     """
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(chunk_bytes, bases), _PIECE_DDL)
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, _cut(chunk_bytes, bases), _PIECE_DDL)
     # The open chunks of one huge text spread over all tasks here; hashed rows are small.
-    pieces = pieces.repartition(F.col("sha"), F.col("chunk")).mapInArrow(_hash_chunks(bases), _PIECE_DDL)
+    pieces = pieces.repartition(F.col("sha"), F.col("chunk")).transform(map_arrow, _hash_chunks(bases), _PIECE_DDL)
     fold = lambda h, s: F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: (a * x[s] + x[h]) % F.lit(PRIME))
     return (
         pieces.groupBy("doc_id", "sha", "n_bytes")
@@ -163,8 +163,8 @@ def _compare(docs: DataFrame, pending: DataFrame, rows: int, chunk_bytes: int) -
     prints = ["n_bytes", "h1", "h2"]
     groups = pending.groupBy(*prints).agg(F.max(F.struct("doc_id", "sha")).alias("rep"), F.count("*").alias("n"))
     salts = F.ceil(F.col("n") / MEMBERS_PER_SALT).cast("int")
-    groups = groups.select(*prints, "rep", salts.alias("salts"))
-    members = pending.join(by_size(groups, rows, 160), prints).select("doc_id", "sha", *prints, "rep", "salts")
+    groups = materialize(groups.select(*prints, "rep", salts.alias("salts"), "n"), "exact-groups")
+    members = join_dealt(pending, groups, prints, 160).select("doc_id", "sha", *prints, "rep", "salts")
     # (doc_id, sha) finds a member's row again; what is compared are the texts themselves.
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("own", F.unhex(F.sha2("text", 256)))
@@ -172,7 +172,7 @@ def _compare(docs: DataFrame, pending: DataFrame, rows: int, chunk_bytes: int) -
     is_rep = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("sha") == F.col("rep.sha"))
     found = found.select("doc_id", "sha", *prints, "rep", "salts", is_rep.alias("is_rep"), "text")
     ddl = "doc_id long, sha binary, n_bytes long, h1 long, h2 long, rep struct<doc_id: long, sha: binary>, salts int, is_rep boolean, chunk int, data binary"
-    chunks = found.mapInArrow(_stream_chunks(chunk_bytes), ddl)
+    chunks = found.transform(map_arrow, _stream_chunks(chunk_bytes), ddl)
     keys = [*prints, "salt", "chunk"]
     mine = F.pmod(F.xxhash64("doc_id", "sha"), F.col("salts")).cast("int")
     left = chunks.where(~F.col("is_rep")).withColumn("salt", mine)
@@ -194,8 +194,8 @@ def exact_dedup(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bases: tuple[in
     """
     all_rows = materialize(fingerprints(docs, chunk_bytes, bases), "exact-prints")
     prints = ["n_bytes", "h1", "h2"]
-    shared = all_rows.groupBy(*prints).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    pending = materialize(all_rows.join(shared, prints).select("doc_id", "sha", *prints), "exact-shared")
+    shared = materialize(all_rows.groupBy(*prints).agg(F.count("*").alias("n")).where("n > 1"), "exact-keys")
+    pending = materialize(join_dealt(all_rows, shared, prints, 48).select("doc_id", "sha", *prints), "exact-shared")
     proven = None
     while (rows := pending.count()) > 0:
         compared = materialize(_compare(docs, pending, rows, chunk_bytes), "exact-compared")
@@ -211,8 +211,9 @@ def exact_dedup(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bases: tuple[in
         single = F.col("rep_sha").isNull()
         out = out.select("doc_id", "sha", "copies", F.when(single, F.col("doc_id")).otherwise(F.col("rep_id")).alias("rep_id"), F.coalesce("rep_sha", "sha").alias("rep_sha"))
     # A group's text has one sha and one representative; sizes are summed before they are joined back.
-    sizes = out.groupBy(F.col("rep_id").alias("g_id"), F.col("rep_sha").alias("g_sha")).agg(F.sum("copies").alias("group_size"))
-    out = out.join(sizes, out["rep_id"].eqNullSafe(sizes["g_id"]) & (out["rep_sha"] == sizes["g_sha"]))
+    out = materialize(out, "exact-members")
+    sizes = materialize(out.groupBy("rep_sha").agg(F.sum("copies").alias("group_size"), F.count("*").alias("n")), "exact-sizes")
+    out = join_dealt(out, sizes, ["rep_sha"], 64)
     out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("nth"))
     kept = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha")) & (F.col("nth") == 1)
     return out.select("doc_id", F.col("rep_id").alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
