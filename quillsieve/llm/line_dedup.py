@@ -5,8 +5,10 @@ cut into distance + 1 segments: edits touch `distance` of them at most. Every
 long line is indexed under (its length, segment number, segment). It probes
 with those of its substrings that could be a segment of a line of its length or
 up to `distance` shorter; from the lengths and the segment's number it follows
-which few places are worth a probe. Lines that meet are verified by the banded
-edit distance, which stops as soon as the limit is passed.
+which few places are worth a probe. Lines that meet are verified by a banded edit
+distance: Spark's own, which stops as soon as the limit is passed, or a
+bit-parallel one with a bit for each diagonal of the band and a vector for each
+number of errors (VERIFY).
 
 All of it is DataFrame functions. Texts of lines are moved for verification only.
 """
@@ -113,8 +115,55 @@ def near_lines(lines: DataFrame, seen: DataFrame, distance: int = DISTANCE, min_
     return near.distinct()
 
 
+def _bits(a: str, b: str, distance: int) -> Column:
+    """Whether lines are within `distance`, by bits for the 2 * distance + 1 diagonals that can matter.
+
+    Bit d of vector e says that at most e errors lead to the prefixes of i and i + d - distance
+    characters. One step takes a character of `a`: the same vector where the characters
+    agree, and from the vector of one error less the same diagonal (replaced), the one
+    above (left out), and, within the step, the one below (put in).
+    """
+    width = 2 * distance + 1
+    full = (1 << width) - 1
+
+    def put_in(vectors: list[Column]) -> list[Column]:
+        out = vectors[:1]
+        for v in vectors[1:]:
+            out.append(v.bitwiseOR(out[-1]).bitwiseOR(F.shiftleft(out[-1], 1)).bitwiseAND(F.lit(full)))
+        return out
+
+    zero = F.lit(0)
+    # `b` between marks that no line holds, so that every diagonal has a character.
+    padded = F.concat(F.lit("\n" * distance), F.col(b), F.lit("\n" * (distance + 1)))
+
+    def step(state: Column, i: Column) -> Column:
+        mine, theirs = F.substring(F.col(a), i, F.lit(1)), F.substring(padded, i, F.lit(width))
+        same = zero
+        for d in range(width):
+            same = same.bitwiseOR(F.when(F.substring(theirs, d + 1, 1) == mine, F.lit(1 << d)).otherwise(zero))
+        out = []
+        for e in range(distance + 1):
+            v = state[e].bitwiseAND(same)
+            if e:
+                v = v.bitwiseOR(state[e - 1]).bitwiseOR(F.shiftright(state[e - 1], 1))
+            out.append(v)
+        return F.array(*put_in(out))
+
+    start = F.array(*put_in([F.lit(1 << distance)] + [zero] * distance))
+    ends = F.aggregate(F.sequence(F.lit(1), F.length(a)), start, step)
+    at = F.length(b) - F.length(a) + distance
+    inside = F.when((at < 0) | (at >= width), F.lit(False)).otherwise(F.getbit(ends[distance], at) == 1)
+    return F.when(F.length(a) == 0, F.length(b) <= distance).otherwise(inside)
+
+
+#: How lines that met are verified: 'bits', or 'levenshtein', Spark's built-in function with a limit, which is banded but
+#: not bit-parallel. Both give the same; built-in functions have no loop over characters that the JVM compiles, so bits
+#: cost over ten times as much (figures in the README).
+VERIFY = "levenshtein"
+
+
 def _within(a: str, b: str, distance: int) -> Column:
-    return F.levenshtein(F.col(a), F.col(b), distance) >= 0
+    return _bits(a, b, distance) if VERIFY == "bits" else F.levenshtein(F.col(a), F.col(b), distance) >= 0
 
 
 def _hot(shared: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
