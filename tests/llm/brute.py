@@ -108,3 +108,33 @@ def exact(docs):
 def url_rule(host, path, rules):
     fits = [(len(h) + len(p), len(h), a == "block", h + p, a) for h, p, a in rules if ("." + host).endswith("." + h) and path.startswith(p)]
     return max(fits)[3:] if fits else (None, None)
+
+
+def licenses(docs, templates, phrases, threshold, least_block):
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)"""
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
+    sets = []
+    for label, text in templates.values():
+        size = max(least_block, next(1 << b for b in range(30) if 1 << b >= 2 * len(split(text))))
+        sets.append((label, set(split(text)), size))
+    out = []
+    for d, t in docs:
+        words, lines = split(t), [split(x) for x in (t or "").split("\n")]
+        places = [(i, label) for p, label in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        best, labels = 0.0, {label for _, label in places}
+        for label, own, size in sets:
+            for stream in [*lines, words]:
+                for start in range(0, max(1, len(stream) - size // 2), size // 2):
+                    share = len(own & set(stream[start : start + size])) / len(own)
+                    if share >= threshold - 1e-9:
+                        best = max(best, share)
+                        labels.add(label)
+        base = sorted({label for _, label in places})
+        at = [i for i, _ in places]
+        out.append((d, len(words), len(at), min(at, default=None), max(at, default=None), ",".join(base), ",".join(sorted(labels)), 1.0 if at else best))
+    return out
+
+
+def shingles(text, size=5):
+    words = lower(text).split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}

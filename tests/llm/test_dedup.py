@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillsieve.llm import exact_dedup, line_dedup, simhash, substring
+from pyspark.sql import functions as F
+
+from quillsieve.llm import common, exact_dedup, line_dedup, pivot, simhash, substring
 from quillsieve.llm.components import components
 from tests.llm import brute
 
@@ -15,10 +18,25 @@ def got(df, *columns):
 EXACT = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-@pytest.mark.parametrize("chunk", [7, 1 << 20])
+@pytest.mark.parametrize("chunk", [1 << 10, 1 << 20])
 def test_exact_odd_rows(make, odd, chunk):
-    docs = [(d, t if t is None or len(t) < 1000 else t[:3000]) for d, t in odd]
-    assert got(exact_dedup.exact_dedup(make(docs), chunk), *EXACT) == brute.exact(docs)
+    assert got(exact_dedup.exact_dedup(make(odd), chunk), *EXACT) == brute.exact(odd)
+
+
+def test_exact_many_chunks(make):
+    docs = [(i, "".join(chr(97 + j % (5 + i % 3)) for j in range(100))) for i in range(12)]
+    assert got(exact_dedup.exact_dedup(make(docs), 7), *EXACT) == brute.exact(docs)
+
+
+def test_hot_keys_don_t_meet_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "by_size", lambda df, rows, width: F.broadcast(df) if rows <= 2 else df)
+    rows = spark.createDataFrame([(k, i) for k in range(20) for i in range(30 if k in (3, 7) else k % 4)], "k int, v int")
+    side = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m")).where("k <> 5")
+    want = sorted((k, v, n, m) for k, v, n, m in rows.join(side, "k").select("k", "v", "n", "m").collect())
+    assert sorted(map(tuple, common.join_dealt(rows, side, ["k"], 1).select("k", "v", "n", "m").collect())) == want
+    left = common.join_dealt(rows, side, ["k"], 1, how="left")
+    assert left.count() == rows.count() and left.where("m IS NULL").select("k").distinct().collect() == [(5,)]
 
 
 def test_exact_survives_colliding_fingerprints(make):
@@ -90,10 +108,11 @@ def test_links_lose_no_pair(spark, most):
 def test_pivots_discard_only_what_is_far():
     rng = np.random.default_rng(3)
     prints = np.unique(np.concatenate([rng.integers(0, 1 << 64, 50, dtype=np.uint64), np.uint64(7) ^ (np.uint64(1) << np.arange(0, 60, 2, dtype=np.uint64))]))
-    table = simhash.PivotTable(prints, simhash.pivots())
+    table = pivot.PivotTable(prints, pivot.distances(prints, pivot.pivots()))
     for i in range(len(prints)):
         want = [j for j in range(len(prints)) if int(prints[i] ^ prints[j]).bit_count() <= 4]
         assert table.linked(i, np.arange(len(prints)), 4).tolist() == want
+    assert table.passed < table.met / 2
 
 
 def test_simhash_long_text_in_steps(monkeypatch):
@@ -116,8 +135,7 @@ SUB = ("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def test_substring_odd_rows(make, odd):
-    docs = [(d, t if t is None or len(t) < 100_000 else t[:4000]) for d, t in odd]
-    assert got(substring.substring_dedup(make(docs)), *SUB) == brute.substring(docs)
+    assert got(substring.substring_dedup(make(odd)), *SUB) == brute.substring(odd)
 
 
 def _passages(seed):
@@ -140,6 +158,24 @@ def test_substring_passages(make, seed, length, gram):
     assert got(substring.substring_dedup(make(docs), length, gram), *SUB) == brute.substring(docs, length)
 
 
+def test_substring_survives_colliding_hashes(make):
+    """With hashes of two bits, all kinds of windows share one; words decide."""
+    docs = _passages(3)
+    assert got(substring.substring_dedup(make(docs), bits=2), *SUB) == brute.substring(docs)
+
+
+def test_substring_repeats_are_maximal(make, monkeypatch):
+    """One repeat for a passage, however many windows it has, and one source for a passage that many have."""
+    text = " ".join(f"w{i}" for i in range(200))
+    seen = []
+    real = substring.merged
+    monkeypatch.setattr(substring, "merged", lambda spans: seen.append(spans) or real(spans))
+    run = substring._remove(50)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [2], "key": [0], "found": [[{"n": 200, "starts": [3], "words": text.encode()}, {"n": 50, "starts": [0], "words": b"other"}]], "exact": [None], "text": ["a b c " + text + " d"]})
+    out = next(run(iter([batch]))).to_pylist()[0]
+    assert seen == [[(3, 203)]] and (out["kept"], out["unlike"]) == ("a b c d", [0])
+
+
 def test_substring_empty_and_spans(make):
     assert substring.substring_dedup(make([])).count() == 0
     text = " ".join(f"w{i}" for i in range(60))
@@ -152,8 +188,7 @@ def lines(df):
 
 
 def test_lines_odd_rows(make, odd):
-    docs = [(d, t if t is None or len(t) < 100_000 else t[:3000]) for d, t in odd]
-    assert lines(line_dedup.line_dedup(make(docs))) == brute.lines(docs)
+    assert lines(line_dedup.line_dedup(make(odd))) == brute.lines(odd)
 
 
 def _edited(seed, count=60):
@@ -172,13 +207,39 @@ def _edited(seed, count=60):
     return out
 
 
-@pytest.mark.parametrize("key_most", [2, 64])
+@pytest.mark.parametrize("key_most,verify", [(2, "levenshtein"), (64, "levenshtein"), (64, "bits")])
 @pytest.mark.parametrize("distance", [1, 2])
-def test_lines_lose_no_near_line(make, key_most, distance):
+def test_lines_lose_no_near_line(make, monkeypatch, key_most, verify, distance):
+    monkeypatch.setattr(line_dedup, "VERIFY", verify)
     docs = _edited(distance)
     assert lines(line_dedup.line_dedup(make(docs), distance, key_most=key_most)) == brute.lines(docs, distance)
 
 
+@pytest.mark.parametrize("distance", [0, 1, 2, 3])
+def test_bits_equal_the_edit_distance(spark, distance):
+    rng = random.Random(distance)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choice("ab\u00e9\U0001f600") for _ in range(rng.randrange(12)))
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "bb"])
+        pairs.append((a, "".join(b)))
+    table = spark.createDataFrame(pairs, "a string, b string")
+    for r in table.select("a", "b", line_dedup._bits("a", "b", distance).alias("near")).collect():
+        assert r["near"] == (brute.edits(r["a"], r["b"]) <= distance)
+
+
+def test_lines_with_one_common_segment(make):
+    """Every line has a part in common with all others; they are not compared with each other for that."""
+    rng = random.Random(9)
+    part = "a common part of lines "
+    docs = [(i, part + "".join(rng.choice("abcd") for _ in range(rng.choice([24, 25])))) for i in range(150)]
+    docs += [(200 + i, t[:30] + "x" + t[31 + i % 2 :]) for i, (_, t) in enumerate(docs[:20])] + [(300, part + "12"), (301, part + "345"), (302, part + "3456")]
+    assert lines(line_dedup.line_dedup(make(docs), key_most=4)) == brute.lines(docs)
+
+
 def test_lines_seen_often(make, monkeypatch):
     monkeypatch.setattr(line_dedup, "OFTEN", 3)
     docs = [(i, "one line that everyone has\nand number %d of the others" % (i // 9)) for i in range(30)]
