@@ -144,7 +144,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, most: int = CELL_MOST) ->
         ends = [own[[e[i] for e in edges]] if edges else np.empty(0, np.uint64) for i in (0, 1)]
         return pa.table({"a": ends[0].view(np.int64), "b": ends[1].view(np.int64)})
 
-    level, found = with_pivots(prints).select(F.lit(0).cast("long").alias("fixed"), "print", "far"), None
+    # Written first: the next pass would run a second worker beside this one's in each task.
+    level, found = materialize(with_pivots(prints).select(F.lit(0).cast("long").alias("fixed"), "print", "far"), "pivots"), None
     while True:
         cells = materialize(_cells(level, distance), "cells")
         sizes = cells.groupBy("fixed", "cell").agg(F.count("*").alias("n")).where("n > 1")
@@ -190,9 +191,10 @@ def keepers(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE_WORD
 
     That is the row with the smallest doc_id; of several texts under that id, the
     one with the smallest key. With `similarity` (a fraction), texts whose sets of
-    shingles have that Jaccard similarity or more are linked, whatever `distance`.
+    shingles have that Jaccard similarity or more are linked; `distance` is where
+    the search among fingerprints ends and that among shingles begins.
     """
-    return first_rows(classed(docs, distance, words) if similarity is None else similar(docs, words, similarity))
+    return first_rows(classed(docs, distance, words) if similarity is None else similar(docs, lambda prints: links(prints, distance), words, similarity))
 
 
 def hex_of(column: Column) -> Column:
