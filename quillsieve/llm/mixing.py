@@ -164,6 +164,9 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, topic: Column | None
         tokens_of(F.col("text")).alias("n_tokens"),
     )
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    count = cells.count()
+    # Few cells are read by one task: targets, margins and caps need no shuffle, whose tasks the driver keeps account of.
+    cells = few(cells, count, ONE_TASK_CELLS)
     raked = rake(cells, default_targets(cells) if targets is None else targets, rounds, sample_share=sample_share)
     ratio = raked.withColumn("ratio", F.col("weight") / F.col("tokens"))
     if sample_share is None:
@@ -171,5 +174,5 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, topic: Column | None
     else:
         top = ratio.agg((1 / (F.lit(sample_share) * F.sum("tokens"))).alias("top"))
     chances = ratio.crossJoin(F.broadcast(top)).select(*DIMENSIONS, F.round(F.least(F.col("ratio") / F.col("top"), F.lit(1.0)), 9).alias("probability"))  # one row is broadcast
-    out = rows.join(by_size(chances, cells.count(), 160), list(DIMENSIONS), "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
+    out = rows.join(by_size(chances, count, 160), list(DIMENSIONS), "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
     return out.select("row", *DIMENSIONS, "n_tokens", "probability", (uniform(F.col("row.doc_id"), seed) < F.col("probability")).alias("sampled"))

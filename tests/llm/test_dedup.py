@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillsieve.llm import common, exact_dedup, line_dedup, pivot, simhash, substring
+from quillsieve.llm import components as graph
 from quillsieve.llm.components import components
 from tests.llm import brute
 
@@ -131,6 +132,16 @@ def test_components(spark):
     assert {n: found.get(n, n) for n in (1, 2, 3, 7, 8, 9, 5, 20, 60, 100, 139)} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 5: 5, 20: 20, 60: 20, 100: 100, 139: 100}
 
 
+def test_a_round_over_few_edges_spares_the_driver(spark, monkeypatch):
+    edges = common.materialize(spark.range(1, 99).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")), "edges")
+    plan = lambda: graph._star(edges, 98)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan()
+    few = sorted(map(tuple, components(edges).collect()))
+    monkeypatch.setattr(graph, "ONE_TASK_EDGES", 0)
+    assert "Exchange" in plan()
+    assert few == sorted(map(tuple, components(edges).collect())) == [(i, 0) for i in range(1, 99)]
+
+
 SUB = ("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

@@ -53,3 +53,20 @@ def test_whole_share_keeps_all_and_bad_ones_are_errors(make, odd):
     assert mixing.mix(make(odd), sample_share=0.5).count() == len(odd)
     with pytest.raises(ValueError):
         mixing.mix(docs, sample_share=0.0)
+
+
+def test_few_cells_need_no_shuffle(make, odd, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def look(cells, targets, *_, **__):
+        raise Seen(targets._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(mixing, "rake", look)
+    with pytest.raises(Seen) as seen:
+        mixing.mix(make(odd))
+    assert "Exchange" not in str(seen.value)
+    monkeypatch.setattr(mixing, "ONE_TASK_CELLS", 0)
+    with pytest.raises(Seen) as seen:
+        mixing.mix(make(odd))
+    assert "Exchange" in str(seen.value)
